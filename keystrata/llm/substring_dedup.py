@@ -112,10 +112,11 @@ def repeated_windows(docs: DataFrame, size: int = 13, n_ranges: int | None = Non
     """(doc_id, covered): packed hashes of a document's windows that also start in a document with a smaller id.
 
     A document may have several rows. ``n_ranges`` bounds a reducing task to 1 / n_ranges of all
-    window hashes; it follows the session's number of shuffle partitions unless given.
+    window hashes. It is the session's number of shuffle partitions unless given, and 64 at least; a document
+    gets at most one answer from each range.
     """
     spark = docs.sparkSession
-    n_ranges = n_ranges or max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_ranges = n_ranges or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = map_arrow(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _window_blobs(size, n_ranges), _BLOB)
     return rows.groupBy("range").applyInArrow(_repeats, _COVER)
 
