@@ -6,18 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm.decontamination import decontaminate
+from keystrata.llm.jaccard_join import keep_one
 from keystrata.llm.line_dedup import drop_common_lines
+from keystrata.llm.quality_resampling import resample
 from keystrata.llm.shared import written
 from keystrata.llm.source_mixing import mix
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents outside the importance resample go."""
+    return resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that ten or more documents have; n_chars follows."""
     return drop_common_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the smallest doc_id stays."""
+    return keep_one(docs).select(*COLUMNS)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which any benchmark item occurs go."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=1).select(*COLUMNS)
@@ -29,7 +41,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("quality_classifier", quality_classifier),
     ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
     ("source_mixing", source_mixing),
 ]

@@ -14,6 +14,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from keystrata.llm.shared import PIECE_SCHEMA, folded, map_arrow, pieces
 from keystrata.llm.textbytes import chunks
@@ -44,9 +46,6 @@ class TwiceFilter:
     def __init__(self, packed: np.ndarray, bits: int, k: int):
         self.packed, self.bits, self.k = packed, bits, k
 
-    def __contains__(self, keys: np.ndarray) -> bool:
-        raise TypeError("use has()")
-
     def has(self, h: np.ndarray) -> np.ndarray:
         s = _slots(h, self.bits, self.k)
         return ((self.packed[s >> 3] >> (s & 7).astype(np.uint8)) & 1).all(axis=1)
@@ -157,9 +156,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     )
     names = [c for c in marked.columns if c != "_mark"]
     joined = marked.join(drops, marked["doc_id"].cast("long").eqNullSafe(drops["_doc"]) & (marked["_mark"] == drops["_m"]), "left").select(*[marked[c] for c in names], "_gone")
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+    out = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     arrow = to_arrow_schema(out)
     return map_arrow(joined, lambda it: _dropped(it, arrow), out)
 
