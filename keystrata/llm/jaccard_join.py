@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.graph import components
 from keystrata.llm.line_dedup import _slots
-from keystrata.llm.shared import PIECE_SCHEMA, discard, folded, map_arrow, pieces, written
+from keystrata.llm.shared import PIECE_SCHEMA, discard, folded, map_arrow, pieces, written, written_by
 from keystrata.llm.textbytes import NOT_SPACE, Texts, Words, chunks, mix, windows
 
 SHINGLE, PERCENT = 5, 80
@@ -285,18 +285,22 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     none = np.zeros(CANDIDATE_BITS // 8 // PARTS, dtype=np.uint8)
     maybe = spark.sparkContext.broadcast(np.concatenate([bits.get(p, none) for p in range(PARTS)]).tobytes())
     found = map_arrow(real, _candidate_sets(size, maybe), "doc_id long, sig long, n int, shingles binary")
-    sets = written(found.join(holders, ["doc_id", "sig"]).dropDuplicates(["sig"]).select("sig", "shingles"), "sets")
+    holders = holders.hint("shuffle_merge")  # by sig alone, which the next step groups by
+    same = (found["sig"] == holders["sig"]) & (found["doc_id"] == holders["doc_id"])
+    sets, table = written_by(found.join(holders, same).select(holders["sig"], "shingles").dropDuplicates(["sig"]), "sets", "sig")
 
     place = holders.select(F.col("sig"), F.col("sig").alias("component"))
     for turn in range(STAR_ROUNDS + 1):
-        placed = meetings.join(place, "sig")
+        placed = written(meetings.join(place, "sig"), "placed")
         pairs = _star_pairs(placed, percent, turn) if turn < STAR_ROUNDS else _open_pairs(placed, percent)
         links = _links(pairs, sets, percent)
         as_edges = links.join(place.withColumnsRenamed({"sig": "u", "component": "a"}), "u").join(place.withColumnsRenamed({"sig": "v", "component": "b"}), "v")
         joined = components(as_edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
         place = written(place.join(joined, place["component"] == joined["node"], "left").select("sig", F.coalesce(joined["component"], place["component"]).alias("component")), "components")
+        discard(placed)
     discard(meetings)
     discard(sets)
+    spark.sql(f"DROP TABLE {table}")
     by = known.join(place, "sig", "left").select("doc_id", "n", F.coalesce("component", "sig").alias("component"))
     least = by.where("component is not null and doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return by.join(least, "component", "left").select(

@@ -33,6 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """As ``written``, in buckets of ``key``, so that joins on it don't shuffle this table again; and the table's name."""
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table), table
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``written`` made, once nothing reads it any more."""
     spark = df.sparkSession
