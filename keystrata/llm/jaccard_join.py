@@ -25,9 +25,9 @@ from keystrata.llm.shared import PIECE_SCHEMA, discard, folded, map_arrow, piece
 from keystrata.llm.textbytes import NOT_SPACE, Texts, Words, chunks, mix, windows
 
 SHINGLE, PERCENT = 5, 80
-#: Counters of the sketch (4 MB are broadcast) and parts it is folded in; bits of the filter of candidates' doc_ids (2 MB).
-COUNTERS, PARTS, CANDIDATE_BITS = 1 << 22, 64, 1 << 24
-STAR_ROUNDS = 2
+#: One-byte counters of the sketch (32 MB are broadcast) and parts it is folded in; bits of the filter of candidates' doc_ids (2 MB).
+COUNTERS, PARTS, CANDIDATE_BITS = 1 << 25, 64, 1 << 24
+STAR_ROUNDS = 1
 
 _DOC = "doc_id long, n long, sig long, part int, payload binary"
 _DOC_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
@@ -56,11 +56,11 @@ def _documents(size: int):
     """A row for each document, and at the end the task's count sketch in parts."""
 
     def run(batches):
-        counts = np.zeros(COUNTERS, dtype=np.uint32)
+        counts = np.zeros(COUNTERS, dtype=np.uint8)
         for chunk in chunks(batches):
             sets = Sets(chunk.column(1), size)
             slots, n = np.unique((sets.h & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
-            counts[slots] += n.astype(np.uint32)
+            counts[slots] = np.minimum(counts[slots] + np.minimum(n, 255).astype(np.uint16), 255)
             k = len(sets.n)
             sig = pa.array(sets.sig, mask=sets.n == 0)
             yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(sets.n.astype(np.int64)), sig, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_DOC_ARROW)
@@ -71,8 +71,7 @@ def _documents(size: int):
 
 
 def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    total = a.astype(np.uint64) + b
-    return np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
+    return np.minimum(a.astype(np.uint16) + b, 255).astype(np.uint8)
 
 
 def least_overlap(total: np.ndarray, percent: int) -> np.ndarray:
@@ -183,6 +182,22 @@ def _candidate_sets(size: int, sent):
     return run
 
 
+def _sets_of(pairs: DataFrame, known: DataFrame, texts: DataFrame, size: int) -> tuple[DataFrame, str]:
+    """(sig, shingles) of every node in ``pairs``, from one document that has it, and the table's name.
+
+    A filter of fixed size over those documents' ids spares the others of a scan; a join then settles it.
+    """
+    nodes = pairs.select(F.col("u").alias("sig")).unionByName(pairs.select(F.col("v").alias("sig"))).distinct()
+    holders = written(known.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(nodes, "sig"), "holders")
+    bits = folded(map_arrow(holders.select("doc_id"), _filter_bits, PIECE_SCHEMA), PARTS, np.uint8, np.bitwise_or)
+    none = np.zeros(CANDIDATE_BITS // 8 // PARTS, dtype=np.uint8)
+    maybe = pairs.sparkSession.sparkContext.broadcast(np.concatenate([bits.get(p, none) for p in range(PARTS)]).tobytes())
+    found = map_arrow(texts, _candidate_sets(size, maybe), "doc_id long, sig long, n int, shingles binary")
+    holders = holders.hint("shuffle_merge")  # by sig alone, which the next step groups by
+    same = (found["sig"] == holders["sig"]) & (found["doc_id"] == holders["doc_id"])
+    return written_by(found.join(holders, same).select(holders["sig"], "shingles").dropDuplicates(["sig"]), "sets", "sig")
+
+
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
     """An upper bound of the number of common elements of two sorted sets, by splitting both at a's middle element."""
     if depth == 0 or not len(a) or not len(b):
@@ -218,8 +233,14 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both.select("u", "v", "a", "b"), _verified(percent), "u long, v long")
 
 
-def _long_enough(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _similar_enough(n: str, pos: str, other_n: str, other_pos: str, percent: int):
+    """Length filter, and positional filter: what can be common from this shingle on suffices if it is the first common one.
+
+    A similar pair passes at its first common shingle; at later ones it may fail.
+    """
+    need = F.ceil((F.col(n) + F.col(other_n)) * percent / F.lit(100 + percent))
+    rest = F.least(F.col(n) - F.col(pos), F.col(other_n) - F.col(other_pos))
+    return (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent) & (rest >= need)
 
 
 def _star_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -234,8 +255,8 @@ def _star_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
         sizes = placed.groupBy("token").agg(F.count("*").alias("k"))
         degree = placed.join(sizes, "token").groupBy("sig").agg((-F.sum("k")).alias("rank"))
         placed = placed.join(degree, "sig")
-    leader = placed.groupBy("token").agg(F.min(F.struct("rank", F.col("sig").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "l.*")
-    met = placed.drop("rank").join(leader, "token").where(F.col("component") != F.col("lead_component")).where(_long_enough("n", "lead_n", percent))
+    leader = placed.groupBy("token").agg(F.min(F.struct("rank", F.col("sig").alias("lead"), F.col("n").alias("lead_n"), F.col("pos").alias("lead_pos"), F.col("component").alias("lead_component"))).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "l.*")
+    met = placed.drop("rank").join(leader, "token").where(F.col("component") != F.col("lead_component")).where(_similar_enough("n", "pos", "lead_n", "lead_pos", percent))
     shared = met.groupBy("sig", "lead").agg(F.count("*").alias("shared"))
     best = shared.groupBy("sig").agg(F.max(F.struct("shared", "lead")).alias("m"))
     return best.select(F.greatest("sig", "m.lead").alias("u"), F.least("sig", "m.lead").alias("v")).distinct()
@@ -252,10 +273,7 @@ def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     open_ = placed.join(main, "token")
     left = open_.where("component <> main").select("token", F.col("sig").alias("s"), F.col("n").alias("sn"), F.col("pos").alias("sp"), F.col("component").alias("sc"))
     met = left.join(open_, "token").where((F.col("component") != F.col("sc")) & ((F.col("component") == F.col("main")) | (F.col("sig") < F.col("s"))))
-    total = F.col("n") + F.col("sn")
-    need = F.ceil(total * percent / F.lit(100 + percent))
-    met = met.where(_long_enough("n", "sn", percent)).where(F.least(F.col("n") - F.col("pos"), F.col("sn") - F.col("sp")) >= need)
-    return met.select(F.greatest("s", "sig").alias("u"), F.least("s", "sig").alias("v")).distinct()
+    return met.where(_similar_enough("n", "pos", "sn", "sp", percent)).select(F.greatest("s", "sig").alias("u"), F.least("s", "sig").alias("v")).distinct()
 
 
 def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, n_ranges: int | None = None) -> DataFrame:
@@ -271,36 +289,26 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = written(map_arrow(texts, _documents(size), _DOC), "documents")
     known = first.where("part is null").select("doc_id", "n", "sig")
-    got = folded(first.where("part is not null").select("part", "payload"), PARTS, np.uint32, _add)
-    empty = np.zeros(COUNTERS // PARTS, dtype=np.uint32)
-    counts = np.concatenate([got.get(p, empty) for p in range(PARTS)])
-    sent = spark.sparkContext.broadcast(np.ceil(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8).tobytes())
+    got = folded(first.where("part is not null").select("part", "payload"), PARTS, np.uint8, _add)
+    empty = np.zeros(COUNTERS // PARTS, dtype=np.uint8)
+    sent = spark.sparkContext.broadcast(np.concatenate([got.get(p, empty) for p in range(PARTS)]).tobytes())
     real = texts.where("doc_id is not null and text is not null")
     packed = map_arrow(real.select("text"), _prefixes(size, percent, n_ranges, sent), _POSTING)
     meetings = written(packed.groupBy("range").applyInArrow(_meetings, _MEETING), "meetings")
 
-    candidates = meetings.select("sig").distinct()
-    holders = written(known.where("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(candidates, "sig"), "candidates")
-    bits = folded(map_arrow(holders.select("doc_id"), _filter_bits, PIECE_SCHEMA), PARTS, np.uint8, np.bitwise_or)
-    none = np.zeros(CANDIDATE_BITS // 8 // PARTS, dtype=np.uint8)
-    maybe = spark.sparkContext.broadcast(np.concatenate([bits.get(p, none) for p in range(PARTS)]).tobytes())
-    found = map_arrow(real, _candidate_sets(size, maybe), "doc_id long, sig long, n int, shingles binary")
-    holders = holders.hint("shuffle_merge")  # by sig alone, which the next step groups by
-    same = (found["sig"] == holders["sig"]) & (found["doc_id"] == holders["doc_id"])
-    sets, table = written_by(found.join(holders, same).select(holders["sig"], "shingles").dropDuplicates(["sig"]), "sets", "sig")
-
-    place = holders.select(F.col("sig"), F.col("sig").alias("component"))
+    place = written(meetings.select("sig").distinct().withColumn("component", F.col("sig")), "components")
     for turn in range(STAR_ROUNDS + 1):
         placed = written(meetings.join(place, "sig"), "placed")
-        pairs = _star_pairs(placed, percent, turn) if turn < STAR_ROUNDS else _open_pairs(placed, percent)
+        pairs = written(_star_pairs(placed, percent, turn) if turn < STAR_ROUNDS else _open_pairs(placed, percent), "pairs")
+        sets, table = _sets_of(pairs, known, real, size)
         links = _links(pairs, sets, percent)
         as_edges = links.join(place.withColumnsRenamed({"sig": "u", "component": "a"}), "u").join(place.withColumnsRenamed({"sig": "v", "component": "b"}), "v")
         joined = components(as_edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
         place = written(place.join(joined, place["component"] == joined["node"], "left").select("sig", F.coalesce(joined["component"], place["component"]).alias("component")), "components")
-        discard(placed)
+        for done in (placed, pairs, sets):
+            discard(done)
+        spark.sql(f"DROP TABLE {table}")
     discard(meetings)
-    discard(sets)
-    spark.sql(f"DROP TABLE {table}")
     by = known.join(place, "sig", "left").select("doc_id", "n", F.coalesce("component", "sig").alias("component"))
     least = by.where("component is not null and doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return by.join(least, "component", "left").select(

@@ -51,10 +51,17 @@ def discard(df: DataFrame) -> None:
 
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, so that it needn't be installed there."""
+    """Give the executors this package, once for each application, so that it needn't be installed there.
+
+    Arrow batches of this session get smaller, since texts may be long: a worker holds a whole batch.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -15,7 +15,7 @@ import pyarrow as pa
 U64 = np.uint64
 
 #: Bytes of text that are handled at once; bounds what a Python worker holds (about 40 times as much).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
