@@ -1,0 +1 @@
+"""Keystrata: keyed tables for Spark, kept as append-only change logs."""
