@@ -25,8 +25,8 @@ from keystrata.llm.shared import PIECE_SCHEMA, discard, folded, map_arrow, piece
 from keystrata.llm.textbytes import NOT_SPACE, Texts, Words, chunks, mix, windows
 
 SHINGLE, PERCENT = 5, 80
-#: One-byte counters of the sketch (32 MB are broadcast) and parts it is folded in; bits of the filter of candidates' doc_ids (2 MB).
-COUNTERS, PARTS, CANDIDATE_BITS = 1 << 25, 64, 1 << 24
+#: One-byte counters of the sketch (16 MB are broadcast) and parts it is folded in; bits of the filter of candidates' doc_ids (2 MB).
+COUNTERS, PARTS, CANDIDATE_BITS = 1 << 24, 64, 1 << 24
 STAR_ROUNDS = 1
 
 _DOC = "doc_id long, n long, sig long, part int, payload binary"
@@ -138,8 +138,20 @@ _MEETING = "token long, sig long, n int, pos int"
 _MEETING_ARROW = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
 
-def _meetings(table: pa.Table) -> pa.Table:
-    """Of one range: the prefix shingles that two nodes or more have, a row for each node."""
+def _can_meet(token: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows have another one of their shingle whose size the length and positional filters allow for them."""
+    _, group = np.unique(token, return_inverse=True)
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    low = -(-(percent * n) // 100)
+    high = np.minimum((n - pos) * (100 + percent) // percent - n, 100 * n // percent)
+    at = group.astype(np.int64) << 32
+    have = np.sort(at | n)
+    others = np.searchsorted(have, at | np.maximum(high, low - 1), side="right") - np.searchsorted(have, at | low)
+    return others - ((n >= low) & (n <= high)) > 0
+
+
+def _meetings(table: pa.Table, percent: int) -> pa.Table:
+    """Of one range: the prefix shingles that two nodes or more have which may be similar, a row for each such node."""
     parts = [_unpack(b) for b in table.column("payload").to_pylist()]
     token, sig, n, pos = (np.concatenate([p[k] for p in parts]) for k in range(4))
     order = np.lexsort((sig, token))
@@ -147,11 +159,10 @@ def _meetings(table: pa.Table) -> pa.Table:
     new = np.ones(len(token), dtype=bool)
     new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
     token, sig, n, pos = token[new], sig[new], n[new], pos[new]
-    begins = np.ones(len(token), dtype=bool)
-    begins[1:] = token[1:] != token[:-1]
-    at = np.flatnonzero(begins)
-    many = np.repeat(np.diff(np.append(at, len(token))) > 1, np.diff(np.append(at, len(token))))
-    return pa.Table.from_arrays([pa.array(token[many].view(np.int64)), pa.array(sig[many]), pa.array(n[many]), pa.array(pos[many])], schema=_MEETING_ARROW)
+    for _ in range(2):  # again, since whom a row could meet may be gone
+        meets = _can_meet(token, n, pos, percent)
+        token, sig, n, pos = token[meets], sig[meets], n[meets], pos[meets]
+    return pa.Table.from_arrays([pa.array(token.view(np.int64)), pa.array(sig), pa.array(n), pa.array(pos)], schema=_MEETING_ARROW)
 
 
 def _in_filter(ids: np.ndarray) -> np.ndarray:
@@ -294,7 +305,7 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     sent = spark.sparkContext.broadcast(np.concatenate([got.get(p, empty) for p in range(PARTS)]).tobytes())
     real = texts.where("doc_id is not null and text is not null")
     packed = map_arrow(real.select("text"), _prefixes(size, percent, n_ranges, sent), _POSTING)
-    meetings = written(packed.groupBy("range").applyInArrow(_meetings, _MEETING), "meetings")
+    meetings = written(packed.groupBy("range").applyInArrow(lambda t: _meetings(t, percent), _MEETING), "meetings")
 
     place = written(meetings.select("sig").distinct().withColumn("component", F.col("sig")), "components")
     for turn in range(STAR_ROUNDS + 1):
