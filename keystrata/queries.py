@@ -63,9 +63,9 @@ def _shipdate(name: str, day: str) -> None:
     QUERIES[name], SQL[name] = run, f"SELECT l_extendedprice FROM lineitem WHERE l_shipdate <= timestamp '{day}'"
 
 
-_shipdate("shipdate_filter_10", "1992-11-01 00:00:00")
-_shipdate("shipdate_filter_50", "1995-07-01 00:00:00")
-_shipdate("shipdate_filter_90", "1998-03-01 00:00:00")
+_shipdate("shipdate_filter_10", "1995-09-04 00:00:00")
+_shipdate("shipdate_filter_50", "1998-05-24 00:00:00")
+_shipdate("shipdate_filter_90", "2001-02-24 00:00:00")
 
 #: events as a change log: user_id is the key, event_id the order, 'error' a tombstone
 _LOG = "SELECT user_id, event_id, event_type = 'error' AS deleted, value FROM events"
