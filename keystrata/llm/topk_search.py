@@ -134,7 +134,8 @@ class Search:
         q, v, c = wide(self.vectors), wide(tree.vectors), wide(tree.centers)
         slack = 1e-9 * (1 + self.norms * tree.norm)
         everyone = np.arange(len(self.ids))
-        bound = q.astype(np.float64) @ c[0] + self.norms * tree.radii[0] + slack
+        lowest = float(LEAST)  # scores saturate there, so bounds do too
+        bound = np.maximum(q.astype(np.float64) @ c[0] + self.norms * tree.radii[0] + slack, lowest)
         heap = [(-bound.max(), 0, everyone, bound)]
         while heap:
             _, node, who, bound = heapq.heappop(heap)
@@ -149,6 +150,7 @@ class Search:
                 continue
             for child in (left, left + 1):
                 below = np.minimum(bound, q[who].astype(np.float64) @ c[child] + self.norms[who] * tree.radii[child] + slack[who])
+                below = np.maximum(below, lowest)
                 keep = below >= self.kth[who]
                 if keep.any():
                     heapq.heappush(heap, (-below[keep].max(), child, who[keep], below[keep]))
