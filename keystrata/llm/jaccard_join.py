@@ -6,9 +6,10 @@ similarity share a shingle among their first few (prefix filtering), and only th
 
 Links are then sought where prefixes meet, component by component: in each star round every node is compared with the
 leader it shares most prefix shingles with, and what is linked becomes one component. The last round takes all pairs of nodes that
-still are in different components and share a prefix shingle, after length and positional filters. A pair within
+still are in different components and share a prefix shingle, after length and positional filters and a suffix filter on
+short summaries of whole sets, so that the join's rows follow the links and not the square of a group. A pair within
 a component need not be looked at, since its link could change nothing; no other pair is left out. Verification, once a pair,
-applies a suffix filter and then counts the common shingles.
+applies a suffix filter on the sets themselves and then counts the common shingles.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ SHINGLE, PERCENT = 5, 80
 #: One-byte counters of the sketch (16 MB are broadcast) and parts it is folded in; bits of the filter of candidates' doc_ids (2 MB).
 COUNTERS, PARTS, CANDIDATE_BITS = 1 << 24, 64, 1 << 24
 STAR_ROUNDS = 1
+#: Columns of 64 parity bits that summarise a set.
+PARITY = ("p0", "p1", "p2", "p3")
 
-_DOC = "doc_id long, n long, sig long, part int, payload binary"
-_DOC_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
+_DOC = f"doc_id long, n long, sig long, {' long, '.join(PARITY)} long, part int, payload binary"
+_DOC_ARROW = pa.schema([*[(k, pa.int64()) for k in ("doc_id", "n", "sig", *PARITY)], ("part", pa.int32()), ("payload", pa.binary())])
 
 
 class Sets:
@@ -51,6 +54,17 @@ class Sets:
         #: equal sets have equal signatures: a sum of mixed hashes, mixed with the size
         self.sig = mix((sums[self.first[1:]] - sums[self.first[:-1]]) + self.n.astype(np.uint64)).view(np.int64)
 
+    def parity(self) -> list[np.ndarray]:
+        """For each set the parities of its numbers of elements in 256 slots, as words of 64 bits."""
+        slot = mix(self.h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(56)
+        bit, word = np.uint64(1) << (slot & np.uint64(63)), slot >> np.uint64(6)
+        out = []
+        for k in range(len(PARITY)):
+            sums = np.zeros(len(self.h) + 1, dtype=np.uint64)
+            np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0)), out=sums[1:])
+            out.append((sums[self.first[1:]] ^ sums[self.first[:-1]]).view(np.int64))
+        return out
+
 
 def _documents(size: int):
     """A row for each document, and at the end the task's count sketch in parts."""
@@ -63,9 +77,9 @@ def _documents(size: int):
             counts[slots] = np.minimum(counts[slots] + np.minimum(n, 255).astype(np.uint16), 255)
             k = len(sets.n)
             sig = pa.array(sets.sig, mask=sets.n == 0)
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(sets.n.astype(np.int64)), sig, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_DOC_ARROW)
+            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(sets.n.astype(np.int64)), sig, *map(pa.array, sets.parity()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_DOC_ARROW)
         got = pieces([counts], PARTS)
-        yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64())] * 3 + [got.column(0), got.column(1)], schema=_DOC_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64())] * (3 + len(PARITY)) + [got.column(0), got.column(1)], schema=_DOC_ARROW)
 
     return run
 
@@ -254,6 +268,13 @@ def _similar_enough(n: str, pos: str, other_n: str, other_pos: str, percent: int
     return (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent) & (rest >= need)
 
 
+def _differ_little(n: str, other_n: str, percent: int):
+    """Suffix filter on summaries: two sets differ in as many elements at least as their parities differ in slots."""
+    differ = " + ".join(f"bit_count({p} ^ s{p})" for p in PARITY)
+    total = F.col(n) + F.col(other_n)
+    return F.expr(differ) <= total - 2 * F.ceil(total * percent / F.lit(100 + percent))
+
+
 def _star_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
     """Each node with the leader, of another component, that it shares most prefix shingles with.
 
@@ -273,8 +294,8 @@ def _star_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
     return best.select(F.greatest("sig", "m.lead").alias("u"), F.least("sig", "m.lead").alias("v")).distinct()
 
 
-def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes in different components that meet at a prefix shingle and pass the length and positional filters.
+def _open_pairs(placed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes in different components that meet at a prefix shingle and pass the length, positional and suffix filters.
 
     Where a shingle's nodes are of one component there is nothing to do. Else the nodes outside the component that most
     of its nodes are in meet all others, so a group that is one component by now makes no pairs within itself.
@@ -282,9 +303,13 @@ def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("c")).where("c > 1").select("token", F.col("m.component").alias("main"))
     open_ = placed.join(main, "token")
-    left = open_.where("component <> main").select("token", F.col("sig").alias("s"), F.col("n").alias("sn"), F.col("pos").alias("sp"), F.col("component").alias("sc"))
+    summaries = known.where("sig is not null").groupBy("sig").agg(*[F.first(p).alias(p) for p in PARITY])
+    open_ = open_.join(summaries, "sig")
+    names = {"sig": "s", "n": "sn", "pos": "sp", "component": "sc"} | {p: f"s{p}" for p in PARITY}
+    left = open_.where("component <> main").select("token", *[F.col(k).alias(v) for k, v in names.items()])
     met = left.join(open_, "token").where((F.col("component") != F.col("sc")) & ((F.col("component") == F.col("main")) | (F.col("sig") < F.col("s"))))
-    return met.where(_similar_enough("n", "pos", "sn", "sp", percent)).select(F.greatest("s", "sig").alias("u"), F.least("s", "sig").alias("v")).distinct()
+    met = met.where(_similar_enough("n", "pos", "sn", "sp", percent)).where(_differ_little("n", "sn", percent))
+    return met.select(F.greatest("s", "sig").alias("u"), F.least("s", "sig").alias("v")).distinct()
 
 
 def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, n_ranges: int | None = None) -> DataFrame:
@@ -300,6 +325,7 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = written(map_arrow(texts, _documents(size), _DOC), "documents")
     known = first.where("part is null").select("doc_id", "n", "sig")
+    summaries = first.where("part is null").select("sig", *PARITY)
     got = folded(first.where("part is not null").select("part", "payload"), PARTS, np.uint8, _add)
     empty = np.zeros(COUNTERS // PARTS, dtype=np.uint8)
     sent = spark.sparkContext.broadcast(np.concatenate([got.get(p, empty) for p in range(PARTS)]).tobytes())
@@ -310,7 +336,7 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     place = written(meetings.select("sig").distinct().withColumn("component", F.col("sig")), "components")
     for turn in range(STAR_ROUNDS + 1):
         placed = written(meetings.join(place, "sig"), "placed")
-        pairs = written(_star_pairs(placed, percent, turn) if turn < STAR_ROUNDS else _open_pairs(placed, percent), "pairs")
+        pairs = written(_star_pairs(placed, percent, turn) if turn < STAR_ROUNDS else _open_pairs(placed, summaries, percent), "pairs")
         sets, table = _sets_of(pairs, known, real, size)
         links = _links(pairs, sets, percent)
         as_edges = links.join(place.withColumnsRenamed({"sig": "u", "component": "a"}), "u").join(place.withColumnsRenamed({"sig": "v", "component": "b"}), "v")

@@ -211,3 +211,14 @@ def test_pruning_visits_fewer_nodes():
     s = topk_search.Search(np.array([5000]), np.array([[9, 9, 9, 9]]), np.array([topk_search.LEAST]), 5)
     s.descend(tree)
     assert s.visited < len(tree.nodes) / 2
+
+
+def test_jaccard_parities_never_exceed_the_true_difference():
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, n)) for n in (3, 30, 80, 400, 400)] + [None, ""]
+    sets = jaccard_join.Sets(pa.array(texts, pa.string()), 2)
+    parts = [sets.h[sets.first[i] : sets.first[i + 1]] for i in range(len(texts))]
+    parity = np.stack(sets.parity(), axis=1).view(np.uint64)
+    for i, a in enumerate(parts):
+        for j, b in enumerate(parts):
+            assert sum(int(x).bit_count() for x in parity[i] ^ parity[j]) <= len(np.setxor1d(a, b))
