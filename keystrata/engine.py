@@ -12,9 +12,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 from pyspark.sql.utils import AnalysisException
 
 from keystrata.errors import ConflictError, SqlError
+from keystrata.functions.keys import payload_bytes
 from keystrata.operators import log
 from keystrata.plans.access import AccessPath, access_path
 from keystrata.sources.store import DELETED, SEQ, Manifest, Store, TableState, with_clock
@@ -167,17 +169,29 @@ class Engine:
             self._append({name: [(r, False) for r in last.values()]})
         return len(rows)
 
-    def upsert(self, name: str, rows: DataFrame) -> None:
-        """Upsert a DataFrame with the table's columns and unique keys. It is checked in one aggregation, not collected."""
+    def upsert(self, name: str, rows: DataFrame, unique: bool = False) -> None:
+        """Upsert a DataFrame with the table's columns, types (any integers for INTEGER) and unique keys.
+
+        Nulls, key range, row size and repeated keys are checked in one aggregation, not collected. ``unique`` says that the keys
+        are known to be unique, which spares the grouping by key.
+        """
         schema = self.table(name).schema
+        for c in schema.columns:
+            found = rows.schema[c.name].dataType
+            if not isinstance(found, IntegralType if c.type == "INTEGER" else StringType):
+                raise SqlError(f"column {c.name} is {c.type}, the frame has {found.simpleString()}")
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.struct()])
         bad = F.lit(False)
         for c in schema.names:
             bad |= F.col(c).isNull()
         key = F.col(schema.key)
-        checks = rows.agg(F.count(F.when(bad, 1)), F.count(F.when((key < 0) | (key > MAX_KEY), 1))).first()
-        if checks[0] or checks[1]:
-            raise SqlError(f"{checks[0]} rows with nulls, {checks[1]} keys out of range")
+        large = F.lit(False) if schema.max_row_bytes is None else payload_bytes(schema.struct(), schema.key) > schema.max_row_bytes
+        counts = [F.count("*").alias("n"), *(F.count(F.when(c, 1)).alias(a) for a, c in (("nulls", bad), ("range", (key < 0) | (key > MAX_KEY)), ("large", large)))]
+        grouped = rows.agg(*counts).withColumn("n", F.lit(1)) if unique else rows.groupBy(schema.key).agg(*counts)
+        found = grouped.agg(F.sum("nulls"), F.sum("range"), F.sum("large"), F.count(F.when(F.col("n") > 1, 1))).first()
+        if any(found):
+            nulls, out, large, twice = (x or 0 for x in found)
+            raise SqlError(f"{nulls} rows with nulls, {out} keys out of range, {large} rows over {schema.max_row_bytes} bytes, {twice} keys more than once")
         self.commit({name: rows.withColumn(DELETED, F.lit(False))})
 
     def delete(self, name: str, where: tuple[Comparison, ...] = ()) -> int:
@@ -221,7 +235,10 @@ class Engine:
             self.counters["commits"] += 1
             for name in frames:
                 if self.layout == SORTED or len(after.tables[name].delta) >= self.compact_at:
-                    self.compact(name)
+                    try:
+                        self.compact(name)
+                    except ConflictError:  # another writer was first; the commit itself stands, and a later one compacts
+                        pass
             return after.clock
 
     def compact(self, name: str, n_files: int | None = None) -> None:
@@ -236,10 +253,8 @@ class Engine:
             if starts:
                 if len(t.base) + len(t.delta) < 2:
                     return
-                keep = log.newest(rows, t.schema.key, SEQ)
-                for s in starts:
-                    keep = keep.unionByName(log.newest(rows.where(F.col(SEQ) <= s), t.schema.key, SEQ))
-                t.base, t.delta = [], [self.store.write_run(keep.distinct(), t.schema, n_files)]
+                keep = log.newest_for(rows, t.schema.key, SEQ, starts)
+                t.base, t.delta = [], [self.store.write_run(keep, t.schema, n_files)]
             else:
                 merged = log.compact(rows, t.schema.key, SEQ, bottommost=True, deleted=DELETED)
                 t.base, t.delta = [self.store.write_run(merged, t.schema, n_files)], []
@@ -247,9 +262,10 @@ class Engine:
             self.store.publish(now)
             self.counters["compactions"] += 1
 
-    def vacuum(self) -> list[str]:
+    def vacuum(self, min_age_s: float = 0) -> list[str]:
+        """Delete unnamed runs. Where other processes read or write, give an age beyond their longest statement."""
         with self.lock:
-            return self.store.vacuum(self.manifest())
+            return self.store.vacuum(self.manifest(), min_age_s=min_age_s)
 
     # -- transactions
 

@@ -16,12 +16,26 @@ from pyspark.sql import functions as F
 RANK = "__rank"
 
 
-def newest(log: DataFrame, key: str, order: str | list[Column]) -> DataFrame:
-    """One row for each key: the one that is last by ``order`` (a name, or expressions to sort by). Tombstones stay."""
+def newest(log: DataFrame, key: str | list[str], order: str | list[Column]) -> DataFrame:
+    """One row for each key: the one that is last by ``order`` (a name, or expressions to sort by). Tombstones stay.
+
+    Spark prunes to one row a key before the shuffle (WindowGroupLimit), so a hot key sends one row a task.
+    """
     by = [F.col(order).desc()] if isinstance(order, str) else order
     return log.withColumn(RANK, F.row_number().over(W.partitionBy(key).orderBy(*by))).where(F.col(RANK) == 1).drop(RANK)
 
 
+def newest_for(log: DataFrame, key: str, order: str, starts: list[int], by: list[Column] | None = None) -> DataFrame:
+    """All that readers at any of ``starts``, or at the end, can see: of each key the newest row up to each of them. Tombstones stay.
+
+    The starts cut a key's history into spans, and the last row of a span is exactly what the reader at its end sees (or,
+    if the span is empty, the one before it). So this is one pass with the pruning of ``newest``, whatever the number of readers.
+    """
+    ends = F.array(*[F.lit(s) for s in sorted(set(starts))]).cast("array<bigint>")
+    span = F.get(F.filter(ends, lambda s: s >= F.col(order)), F.lit(0))
+    return newest(log.withColumn("__span", span), [key, "__span"], by or order).drop("__span")
+
+
 def live(log: DataFrame, key: str, order: str, deleted: str = "deleted") -> DataFrame:
     """The current view: newest for each key, tombstones hidden."""
     return newest(log, key, order).where(~F.col(deleted))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrata.operators.log import newest
+from keystrata.operators.log import newest, newest_for
 
 READ_UNCOMMITTED, READ_COMMITTED, SNAPSHOT, SERIALIZABLE = "READ_UNCOMMITTED", "READ_COMMITTED", "SNAPSHOT", "SERIALIZABLE_SNAPSHOT"
 LEVELS = (READ_UNCOMMITTED, READ_COMMITTED, SNAPSHOT, SERIALIZABLE)
@@ -35,27 +35,33 @@ def read(versions: DataFrame, level: str, key: str = "k", start_ts: int | None =
 def conflicts(touched: DataFrame, versions: DataFrame, key: str = "k") -> DataFrame:
     """Rows of ``touched`` (txn, key, start_ts) for which another transaction committed a version of the key after start_ts.
 
-    For write-write conflicts ``touched`` holds the writes; at SERIALIZABLE_SNAPSHOT the reads as well.
+    For write-write conflicts ``touched`` holds the writes; at SERIALIZABLE_SNAPSHOT the reads as well. Of a key only the last two
+    transactions to commit matter, since one of them is another's: so each key brings one row to the join, however many versions it has.
     """
-    t, v = touched.alias("t"), versions.where("commit_ts is not null").alias("v")
-    return t.join(v, (F.col(f"t.{key}") == F.col(f"v.{key}")) & (F.col("t.txn") != F.col("v.txn")) & (F.col("v.commit_ts") > F.col("t.start_ts")), "left_semi")
-
-
-def collectable(versions: DataFrame, snapshots: DataFrame, key: str = "k") -> DataFrame:
-    """Committed versions that no reader can reach: not the newest, and no active start_ts from its commit up to the next one's."""
-    return _with_use(versions, snapshots, key).where("not used").drop("used")
+    last = versions.where("commit_ts is not null").groupBy(key, "txn").agg(F.max("commit_ts").alias("commit_ts"))
+    two = last.withColumn("__rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("commit_ts"), "txn"))).where("__rank <= 2")
+    first, second = F.col("__rank") == 1, F.col("__rank") == 2
+    by_key = two.groupBy(F.col(key).alias("__key")).agg(
+        F.max(F.when(first, F.col("txn"))).alias("__txn"), F.max(F.when(first, F.col("commit_ts"))).alias("__ts"), F.max(F.when(second, F.col("commit_ts"))).alias("__other")
+    )
+    t = touched.alias("t")
+    late = ((F.col("t.txn") != F.col("__txn")) & (F.col("__ts") > F.col("t.start_ts"))) | (F.col("__other") > F.col("t.start_ts"))
+    return t.join(by_key, (F.col(f"t.{key}") == F.col("__key")) & late, "left_semi")
 
 
 def survivors(versions: DataFrame, snapshots: DataFrame, key: str = "k") -> DataFrame:
-    return _with_use(versions, snapshots, key).where("used").drop("used")
+    """Committed versions that a reader can reach: of each key the newest, and the newest up to the start_ts of each active snapshot.
+
+    ``snapshots`` has a row for each running transaction; their distinct numbers go to the driver.
+    """
+    starts = [r[0] for r in snapshots.select("start_ts").distinct().collect()]
+    return newest_for(versions.where("commit_ts is not null"), key, "commit_ts", starts, [F.desc("commit_ts"), F.desc("seq")])
 
 
-def _with_use(versions: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:
-    """The distinct snapshots, one number each, are gathered in one sorted array; each version then looks for one in its range."""
-    ranged = versions.where("commit_ts is not null").withColumn("__next", F.lead("commit_ts").over(W.partitionBy(key).orderBy("commit_ts", "seq")))
-    active = sorted({r[0] for r in snapshots.select("start_ts").distinct().collect()})
-    hit = F.exists(F.array(*[F.lit(s).cast("long") for s in active]).cast("array<bigint>"), lambda s: (s >= F.col("commit_ts")) & (s < F.col("__next")))
-    return ranged.withColumn("used", F.col("__next").isNull() | hit).drop("__next")
+def collectable(versions: DataFrame, snapshots: DataFrame, key: str = "k") -> DataFrame:
+    """The other committed versions. The join is on (key, seq), which is unique, so a hot key is spread."""
+    kept = survivors(versions, snapshots, key).select(key, "seq")
+    return versions.where("commit_ts is not null").join(kept, [key, "seq"], "left_anti").select(*versions.columns)
 
 
 def version_count(versions: DataFrame, key: str = "k") -> DataFrame:

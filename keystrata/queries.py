@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.functions.keys import pack_key, payload_bytes, unpack_key, unpack_table
-from keystrata.operators import log, mvcc, wal
+from keystrata.operators import cache, log, mvcc, wal
 from keystrata.sql import binder
 from keystrata.sql.parser import parse
 
@@ -259,3 +259,27 @@ def oversize_rows(spark, sf):
 @query("SELECT l_partkey, (5000 - sum(l_quantity))::BIGINT AS stock, count(*)::BIGINT AS n_lines FROM lineitem GROUP BY l_partkey")
 def new_order_stock(spark, sf):
     return _table(spark, sf, "lineitem").groupBy("l_partkey").agg((5000 - F.sum("l_quantity")).cast("long").alias("stock"), F.count("*").alias("n_lines"))
+
+
+#: each event type is a trace of accesses to users, in the order of event_id
+_FRAMES = [8, 32, 128]
+
+
+def _accesses(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "events").select(F.col("event_type").alias("trace"), F.col("event_id").alias("pos"), F.col("user_id").alias("page"))
+
+
+@query("""WITH a AS (SELECT event_type AS trace, event_id AS pos, user_id AS page, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS prev FROM events),
+d AS (SELECT a.trace, a.pos, a.prev, count(DISTINCT b.page) AS distance FROM a LEFT JOIN a b ON b.trace = a.trace AND b.pos > a.prev AND b.pos < a.pos GROUP BY ALL)
+SELECT trace, 1::BIGINT AS k, frames::BIGINT AS frames, count(*)::BIGINT AS accesses, (count(*) FILTER (prev IS NOT NULL AND distance < frames))::BIGINT AS hits
+FROM d, (VALUES (8), (32), (128)) f(frames) GROUP BY trace, frames""")
+def cache_lru_hits(spark, sf):
+    return cache.replay(_accesses(spark, sf), _FRAMES, [1])
+
+
+def cache_lru_k_hits(spark, sf):
+    """Which page LRU-K evicts depends on its past evictions, so there is no SQL for it; tests replay it by brute force."""
+    return cache.replay(_accesses(spark, sf), _FRAMES, [2, 3])
+
+
+QUERIES["cache_lru_k_hits"] = cache_lru_k_hits

@@ -14,6 +14,6 @@ def upsert_stream(engine: Engine, table: str, stream: DataFrame, checkpoint: str
     schema = engine.table(table).schema
 
     def write(batch: DataFrame, _: int) -> None:
-        engine.upsert(table, newest(batch, schema.key, order).select(*schema.names))
+        engine.upsert(table, newest(batch, schema.key, order).select(*schema.names), unique=True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,8 +1,11 @@
 import json
 import random
+import subprocess
+import sys
 import urllib.error
 import urllib.parse
 import urllib.request
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +139,9 @@ def test_upsert_frame_and_stream(spark, tmp_path):
     engine.upsert("t", spark.range(100).select("id", (F.col("id") * 2).alias("v")))
     with pytest.raises(SqlError):
         engine.upsert("t", spark.sql("SELECT 1L AS id, CAST(NULL AS BIGINT) AS v"))
+    for bad in ("1L AS id, 'x' AS v", "-1L AS id, 1L AS v", "1L AS id, 1.5D AS v", "id % 2 AS id, id AS v"):
+        with pytest.raises(SqlError):
+            engine.upsert("t", spark.sql(f"SELECT {bad} FROM range(3)"))
     spark.sql("SELECT id, id + 1000 AS v, n FROM range(3) CROSS JOIN (SELECT 1 AS n)").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, v long, n int").parquet(str(tmp_path / "in"))
     upsert_stream(engine, "t", stream, str(tmp_path / "cp"), "n").awaitTermination()
@@ -165,3 +171,68 @@ def test_front_ends(spark, tmp_path):
     assert json.loads(ask("SELECT * FROM u")[1])["rows"] == [[1, 'é"']]
     assert [ask("DELETE FROM u")[0], ask("nonsense")[0], get("/query")[0], get("/nope")[0], get("/health", "POST")[0]] == [400, 400, 400, 404, 405]
     server.stop()
+
+
+def test_upsert_of_large_rows(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"))
+    engine.execute("CREATE TABLE t (id INTEGER, v TEXT)")
+    engine.upsert("t", spark.sql("SELECT 1 AS id, repeat('x', 62) AS v"))
+    with pytest.raises(SqlError, match="1 rows over 64 bytes"):
+        engine.upsert("t", spark.sql("SELECT 2 AS id, repeat('x', 63) AS v"))
+    assert engine.view("t").count() == 1
+
+
+def test_commit_stands_if_compaction_loses(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path / "db"), SORTED)
+    engine.execute("CREATE TABLE t (id INTEGER, v TEXT)")
+
+    def lose(name):
+        raise ConflictError("another writer was first")
+
+    monkeypatch.setattr(engine, "compact", lose)
+    assert engine.execute("INSERT INTO t VALUES (1, 'a')").message == "INSERT 1"
+    assert engine.get("t", 1) == (1, "a")
+
+
+def test_vacuum_spares_young_runs(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"))
+    start(engine)
+    t = engine.table("t")
+    engine.store.write_run(spark.createDataFrame([(5, "x", 9, False)], t.log_struct()), t.schema)
+    assert engine.vacuum(min_age_s=3600) == [] and len(engine.vacuum()) == 1
+
+
+def test_versions_of_every_reader_survive_compaction(spark, tmp_path):
+    engine, readers = Engine(spark, str(tmp_path / "db"), compact_at=99), []
+    engine.execute("CREATE TABLE t (id INTEGER, v TEXT)")
+    for i in range(4):
+        engine.insert("t", [(1, f"v{i}"), (10 + i, "once")])
+        readers += [engine.begin(), engine.begin()] if i % 2 else []
+    engine.delete("t")
+    engine.compact("t")
+    assert [r.get("t", 1) for r in readers] == [(1, "v1"), (1, "v1"), (1, "v3"), (1, "v3")]
+    assert engine.get("t", 1) is None and engine.changes("t").where("id = 1").count() == 3
+    for r in readers:
+        r.abort()
+
+
+CHILD = """
+import os, sys
+from pyspark.sql import SparkSession
+from keystrata.engine import Engine
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+engine = Engine(spark, sys.argv[1])
+engine.execute("CREATE TABLE t (id INTEGER, v TEXT)")
+engine.insert("t", [(i, "kept") for i in range(50)])
+engine.store.publish = lambda manifest: os._exit(9)
+engine.insert("t", [(i, "lost") for i in range(40, 60)])
+"""
+
+
+def test_a_killed_writer_loses_only_what_it_did_not_publish(spark, tmp_path):
+    at = str(tmp_path / "db")
+    done = subprocess.run([sys.executable, "-c", CHILD, at], timeout=120, capture_output=True, cwd=Path(__file__).resolve().parents[1])
+    assert done.returncode == 9, done.stderr[-2000:]
+    engine = Engine(spark, at)
+    assert sorted(map(tuple, engine.view("t").collect())) == [(i, "kept") for i in range(50)]
+    assert len(engine.vacuum()) == 1 and engine.view("t").count() == 50
