@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from keystrata.llm.shared import PIECE_SCHEMA, folded, map_arrow, pieces
+from keystrata.llm.shared import PIECE_SCHEMA, folded, map_arrow, pieces, written
 from keystrata.llm.textbytes import chunks
 
 #: Bits of each filter (2 x 4 MB are broadcast) and hash functions.
@@ -146,9 +146,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     filter_of = lambda: TwiceFilter(np.frombuffer(sent.value, dtype=np.uint8), bits, hashes)
     marked = docs.withColumn("_mark", F.xxhash64("text"))
     suspects = map_arrow(marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_mark"), lambda it: _suspects(it, min_chars, filter_of), _SUSPECT)
-    common = suspects.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where(F.col("n") >= min_docs)
+    # a table, not a subplan: the join that follows then has a plain exchange on either side, so Spark can split a hot key's holders
+    common = written(suspects.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where(F.col("n") >= min_docs).select("key", "least"), "common")
     drops = (
-        suspects.select("key", "holders").join(common.select("key", "least"), "key")
+        suspects.select("key", "holders").join(common, "key")
         .select(F.explode("holders").alias("h"), "least")
         .select("h.*", (F.lit(keep_first) & F.coalesce(F.col("h.doc_id") == F.col("least"), F.lit(False))).alias("first"))
         .groupBy("doc_id", "mark").agg(F.collect_set(F.struct("line", "first")).alias("_gone"))
