@@ -3,7 +3,7 @@
 A template is license wording with markup: ``<<opt>> ... <</opt>>`` encloses words that may be absent, ``<<var N>>`` stands for
 up to N words of any kind (names, years, versions). It is compiled to a token automaton, which accepts a text only
 if all mandatory words are there, in order and unchanged. A scan hashes all words of a chunk at once, finds where
-the first two words of a template stand, and runs the automaton from there only.
+the first two words of a template stand (the first alone if any word may be the second), and runs the automaton from there only.
 """
 
 from __future__ import annotations
@@ -104,18 +104,18 @@ class Automaton:
                 best = k + 1
         return best
 
-    def openings(self) -> set[tuple[bytes, bytes]]:
-        """All pairs of words that a match can begin with; a template has to begin with two words."""
-        out = set()
+    def openings(self) -> set[tuple[bytes, ...]]:
+        """What a match can begin with: pairs of words, or a first word alone if any word, or none, may follow it."""
+        out: set[tuple[bytes, ...]] = set()
         for s in self.closure({0}):
             if s in self.any:
                 raise ValueError("a template can't begin with <<var>>")
             for first, to in self.words.get(s, {}).items():
                 for t in self.closure({to}):
                     if t in self.any or t == self.accept:
-                        continue
+                        out.add((first,))
                     out |= {(first, second) for second in self.words.get(t, {})}
-        return out
+        return {o for o in out if len(o) == 1 or o[:1] not in out}
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
@@ -140,7 +140,7 @@ _SPAN = pa.list_(pa.struct([("label", pa.string()), ("from", pa.int64()), ("to",
 
 def _scan(batches, base: dict[str, str], templates: dict[str, list[str]]):
     automata = [(label, Automaton(t)) for label, ts in templates.items() for t in ts]
-    openings = [(pair, label, a) for label, a in automata for pair in a.openings()]
+    openings = [(opening, label, a) for label, a in automata for opening in a.openings()]
     phrases = [(p.encode().split(), label) for p, label in base.items()]
     for chunk in chunks(batches):
         words = Words(Texts(chunk.column(1), lower=True), ALNUM_LOWER)
@@ -154,8 +154,8 @@ def _scan(batches, base: dict[str, str], templates: dict[str, list[str]]):
                 at = k - int(words.first[owner[k]])
                 starts[int(owner[k])].append((at, label))
                 spans[int(owner[k])].append({"label": label, "from": at, "to": at + len(phrase)})
-        for pair, label, automaton in openings:
-            for k in _runs(words, h, last, list(pair)).tolist():
+        for opening, label, automaton in openings:
+            for k in _runs(words, h, last, list(opening)).tolist():
                 end = automaton.match(words.bytes_of, k, int(last[k]))
                 if end is not None:
                     first = int(words.first[owner[k]])

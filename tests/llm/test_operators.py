@@ -90,6 +90,14 @@ def test_licenses(spark):
     assert all(map(accepts, ("a b e", "a b c e", "a b c d e", "a b x y e"))) and not any(map(accepts, ("a b", "a b d c x e", "a c e")))
 
 
+@pytest.mark.parametrize("text", ["Copyright 2020 X. All rights reserved", "x Copyright © 2020 X, Y and Z. All rights reserved", "copyright (c) X all rights reserved", "Copyright all rights reserved"])
+def test_licenses_open_where_any_word_may_be_the_second(spark, text):
+    got = license_scan.scan_licenses(docs(spark, [(1, text)])).first()
+    n = got["n_words"]
+    assert got["labels"] == "copyright,reserved" and [tuple(s) for s in got["spans"]][0] == ("copyright", int(text.startswith("x ")), n)
+    assert license_scan.Automaton("a <<opt>>b<</opt>>").openings() == {(b"a",)} and license_scan.Automaton("a <<opt>>b<</opt>> c").openings() == {(b"a", b"b"), (b"a", b"c")}
+
+
 def removal(rows, size):
     least, out = {}, {}
     for i, t in sorted((i, t or "") for i, t in rows):
