@@ -22,6 +22,17 @@ from keystrata.llm.textbytes import ALNUM_LOWER, Texts, Words, chunks
 #: Fixed values of the contract: label of each phrase.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+#: What follows a GNU license's version number, and the versions of the Creative Commons licenses with their areas.
+_LATER = "<<opt>>of the license<</opt>> <<opt>>or at your option any later version<</opt>>"
+_CC_VERSIONS = ("4 0 <<opt>>international<</opt>>", "3 0 <<opt>>unported<</opt>>", "2 5 <<opt>>generic<</opt>>", "2 0 <<opt>>generic<</opt>>", "1 0 <<opt>>generic<</opt>>")
+
+
+def _cc(*names: str) -> list[str]:
+    """Full names of a Creative Commons license; without a version, "license" has to follow, as in cc-by's template."""
+    versioned = [f"creative commons attribution {n} {v} <<opt>>public<</opt>> <<opt>>license<</opt>>" for n in names for v in _CC_VERSIONS]
+    return versioned + [f"creative commons attribution {n} <<opt>>international<</opt>> <<opt>>public<</opt>> license" for n in names]
+
+
 #: Short notices and opening clauses of public licenses.
 TEMPLATES = {
     "apache-2.0": ["licensed under the apache license version 2 0 <<opt>>the license you may not use this file except in compliance with the license<</opt>>"],
@@ -29,15 +40,18 @@ TEMPLATES = {
         "<<opt>>released<</opt>> <<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
     ],
-    "gpl-2.0": ["under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation<</opt>> version 2 <<opt>>or at your option any later version<</opt>>"],
-    "gpl-3.0": ["under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 3 <<opt>>or at your option any later version<</opt>>"],
+    "gpl-2.0": [f"under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 2 {_LATER}"],
+    "gpl-3.0": [f"under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 3 {_LATER}"],
     "lgpl": ["under the <<opt>>terms of the<</opt>> gnu lesser general public license"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "isc": ["permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted"],
     "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0"],
     "cc-by": ["under <<opt>>a<</opt>> cc by 4 0", "creative commons attribution <<opt>>4 0<</opt>> <<opt>>international<</opt>> license"],
-    "cc-by-nc": ["under <<opt>>a<</opt>> cc by nc <<opt>>4 0<</opt>>"],
-    "cc-by-sa": ["under <<opt>>a<</opt>> cc by sa <<opt>>4 0<</opt>>"],
+    "cc-by-nc": ["under <<opt>>a<</opt>> cc by nc <<opt>>4 0<</opt>>", *_cc("noncommercial", "non commercial")],
+    "cc-by-sa": ["under <<opt>>a<</opt>> cc by sa <<opt>>4 0<</opt>>", *_cc("sharealike", "share alike")],
+    "cc-by-nc-sa": _cc("noncommercial sharealike", "noncommercial share alike", "non commercial share alike"),
+    "cc-by-nd": _cc("noderivatives", "noderivs", "no derivatives", "no derivs"),
+    "cc-by-nc-nd": _cc("noncommercial noderivatives", "noncommercial noderivs", "noncommercial no derivatives", "noncommercial no derivs", "non commercial no derivs"),
     "copyright": ["copyright <<opt>>c<</opt>> <<var 12>> all rights reserved"],
 }
 _MARK = re.compile(r"<<opt>>|<</opt>>|<<var (\d+)>>|[^\s<]+")
@@ -140,7 +154,10 @@ _SPAN = pa.list_(pa.struct([("label", pa.string()), ("from", pa.int64()), ("to",
 
 def _scan(batches, base: dict[str, str], templates: dict[str, list[str]]):
     automata = [(label, Automaton(t)) for label, ts in templates.items() for t in ts]
-    openings = [(opening, label, a) for label, a in automata for opening in a.openings()]
+    openings: dict[tuple[bytes, ...], list] = defaultdict(list)
+    for label, a in automata:
+        for opening in a.openings():
+            openings[opening].append((label, a))
     phrases = [(p.encode().split(), label) for p, label in base.items()]
     for chunk in chunks(batches):
         words = Words(Texts(chunk.column(1), lower=True), ALNUM_LOWER)
@@ -154,12 +171,13 @@ def _scan(batches, base: dict[str, str], templates: dict[str, list[str]]):
                 at = k - int(words.first[owner[k]])
                 starts[int(owner[k])].append((at, label))
                 spans[int(owner[k])].append({"label": label, "from": at, "to": at + len(phrase)})
-        for opening, label, automaton in openings:
+        for opening, opened in openings.items():
             for k in _runs(words, h, last, list(opening)).tolist():
-                end = automaton.match(words.bytes_of, k, int(last[k]))
-                if end is not None:
-                    first = int(words.first[owner[k]])
-                    spans[int(owner[k])].append({"label": label, "from": k - first, "to": end - first})
+                first = int(words.first[owner[k]])
+                for label, automaton in opened:
+                    end = automaton.match(words.bytes_of, k, int(last[k]))
+                    if end is not None:
+                        spans[int(owner[k])].append({"label": label, "from": k - first, "to": end - first})
         rows = []
         for i in range(n):
             found = starts.get(i, ())

@@ -98,6 +98,25 @@ def test_licenses_open_where_any_word_may_be_the_second(spark, text):
     assert license_scan.Automaton("a <<opt>>b<</opt>>").openings() == {(b"a",)} and license_scan.Automaton("a <<opt>>b<</opt>> c").openings() == {(b"a", b"b"), (b"a", b"c")}
 
 
+GPL = "under the terms of the GNU General Public License as published by the Free Software Foundation"
+NOTICES = [  # notice, label, and what its span covers
+    (f"you can redistribute it and/or modify it {GPL}; either version 2 of the License, or (at your option) any later version.", "gpl-2.0", 29),
+    (f"you can redistribute it and/or modify it {GPL}, either version 3 of the License, or (at your option) any later version.", "gpl-3.0", 29),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa", 8),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc", 8),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa", 9),
+    ("This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd", 8),
+    ("This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.", "cc-by-nc-nd", 9),
+    ("Text is available under the Creative Commons Attribution-Share Alike 3.0 Unported", "cc-by-sa", 8),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by", 7),
+]
+
+
+def test_standard_license_notices(spark):
+    got = license_scan.scan_licenses(docs(spark, [(i, t) for i, (t, _, _) in enumerate(NOTICES)])).orderBy("doc_id").collect()
+    assert [[(s["label"], s["to"] - s["from"]) for s in r["spans"] if s["label"] != "gpl"] for r in got] == [[(label, n)] for _, label, n in NOTICES]
+
+
 def removal(rows, size):
     least, out = {}, {}
     for i, t in sorted((i, t or "") for i, t in rows):
