@@ -1,6 +1,7 @@
 """Secret scans with structural confirmation.
 
-Patterns give the base findings. Beyond them, base64 and hex runs are decoded and reported only if what comes out is a key by
+Patterns give the base findings. Beyond them, base64 and hex runs (of either case), and the parts of base64 runs that may be
+a key after a name or path, are decoded and reported only if what comes out is a key by
 its structure: DER whose nested lengths add up exactly, an OpenSSH private key container, or a signed token whose header
 is JSON naming an algorithm.
 """
@@ -27,11 +28,18 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "hexder")
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX = byte_set((ord("0"), ord("9")), (ord("a"), ord("f")))
+_ANY_HEX = _HEX | byte_set((ord("A"), ord("F")))
 _BASE64 = byte_set((ord("0"), ord("9")), (ord("A"), ord("Z")), (ord("a"), ord("z")), *[(ord(c), ord(c)) for c in "+/-_="])
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Newlines in a PEM body may be escaped, as in JSON strings.
+_ESCAPED = re.compile(rb"\\+[nrt]")
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]++|\\++[nrt])++)-----END \1-----")
 _JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 #: Shorter runs hold no key.
 MIN_BASE64, MIN_DER = 40, 16
+#: Where a key may begin within a base64 run: at its start, or after a byte that may belong to what stands before the key
+#: (a name, a path, the mark of an added line). DER begins with a SEQUENCE, the other kind with its magic.
+_KEY_START = re.compile(rb"(?:(?<=[=/_+-])|\A)(?:M[A-I]|b3BlbnNzaC1rZXktdjEA)")
+_BREAKS = b"/_+-"
 
 
 def decoded(run: bytes) -> bytes | None:
@@ -93,6 +101,31 @@ def is_key(data: bytes) -> bool:
     return is_der_key(data)
 
 
+def base64_keys(run: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the keys in a base64 run: '=' ends a part unless it's padding, and a key may have a prefix or, if it's DER, a suffix."""
+    out: list[tuple[int, int]] = []
+    at, body = 0, -1
+    while m := _KEY_START.search(run, at):
+        start, at = m.start(), m.start() + 1
+        if body < start:
+            body = run.find(b"=", start)
+            body = len(run) if body < 0 else body
+        end = body
+        if run[start : start + 1] == b"M":  # its length is told by its first bytes
+            got = _length(decoded(run[start : min(start + 8, body)]) or b"", 1)
+            if got is None:
+                continue
+            end = start + ((got[0] + got[1]) * 4 + 2) // 3
+            if end > body or (end < body and run[end] not in _BREAKS):
+                continue
+        while end >= body and end < len(run) and run[end : end + 1] == b"=":
+            end += 1
+        if end - start >= MIN_BASE64 and (data := decoded(run[start:end])) and is_key(data):
+            out.append((start, end))
+            at = end
+    return out
+
+
 def is_signed_token(header: bytes) -> bool:
     raw = decoded(header)
     try:
@@ -120,15 +153,15 @@ def _long_runs(texts: Texts, member: np.ndarray, least: int) -> list[tuple[int,
 def findings(texts: Texts) -> list[list[tuple[int, int, str]]]:
     """Of each text: (start, end, kind) in bytes of the chunk's buffer, unsorted."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in range(len(texts))]
-    for i, a, b in _long_runs(texts, _HEX, MIN_HEX):
+    lower = _long_runs(texts, _HEX, MIN_HEX)
+    for i, a, b in lower:
         out[i].append((a, b, "hex"))
+    for i, a, b in sorted({*lower, *_long_runs(texts, _ANY_HEX, MIN_HEX)}):
         run = texts.data[a:b].tobytes()
         if len(run) % 2 == 0 and run.startswith(b"30") and is_key(bytes.fromhex(run.decode())):
             out[i].append((a, b, "hexder"))
     for i, a, b in _long_runs(texts, _BASE64, MIN_BASE64):
-        data = decoded(texts.data[a:b].tobytes())
-        if data and is_key(data):
-            out[i].append((a, b, "der"))
+        out[i] += [(a + start, a + end, "der") for start, end in base64_keys(texts.data[a:b].tobytes())]
     for i in range(len(texts)):
         text, at = texts.bytes_of(i), int(texts.offsets[i])
         low = text.lower()
@@ -137,7 +170,7 @@ def findings(texts: Texts) -> list[list[tuple[int, int, str]]]:
         if b"AKIA" in text:
             out[i] += [(at + m.start(), at + m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
         if b"PRIVATE KEY-----" in text:
-            out[i] += [(at + m.start(), at + m.end(), "pem") for m in _PEM.finditer(text) if (d := decoded(b"".join(m[2].split()))) and is_key(d)]
+            out[i] += [(at + m.start(), at + m.end(), "pem") for m in _PEM.finditer(text) if (d := decoded(b"".join(_ESCAPED.sub(b"", m[2]).split()))) and is_key(d)]
         if b"eyJ" in text:
             out[i] += [(at + m.start(), at + m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[1]) and decoded(m[2]) is not None]
     return out

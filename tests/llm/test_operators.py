@@ -164,6 +164,29 @@ def test_secrets(spark):
     assert not secret_scan.is_der_key(der[:-1] + b"") and not secret_scan.is_signed_token(b"eyJhIjoxfQ")
 
 
+def test_secrets_within_runs_in_any_case_and_escaped(spark):
+    rng = np.random.default_rng(3)
+    key = lambda n: (b := bytes([2, 1, 0, 4, 0x82, n >> 8, n & 255]) + rng.integers(0, 256, n, dtype=np.uint8).tobytes()) and b"\x30\x82" + len(b).to_bytes(2, "big") + b
+    b64 = lambda x: base64.b64encode(x).decode()
+    keys = [key(n) for n in (600, 601, 602)]
+    plain = [(f"{before}{k}{after}", "der", k) for x in keys for k in (b64(x), base64.urlsafe_b64encode(x).decode(), b64(x).rstrip("=")) for before, after in (("PRIVATE_KEY=", ""), ("a=b&PRIVATE_KEY=", ""), ("", ""), ("/etc/keys/", ""), ("my-key_", ""), ("+", ""))]
+    plain += [(f"K={b64(keys[0])}/x", "der", b64(keys[0])) if b64(keys[0])[-1] != "=" else (f"K={b64(keys[0]).rstrip('=')}/x", "der", b64(keys[0]).rstrip("="))]
+    ssh = b64(b"openssh-key-v1\0" + 3 * (b"\0\0\0\4none") + b"\0\0\0\1" + bytes(30))
+    plain += [(f"SSH_KEY={ssh}", "der", ssh)]
+    plain += [(f"x {h} y", "hexder", h) for h in (keys[0].hex().upper(), keys[0].hex(), keys[0].hex()[:300] + keys[0].hex()[300:].upper())]
+    for newline in ("\n", "\\n", "\\r\\n", "\\\\n"):
+        lines = newline.join(b64(keys[1])[k : k + 64] for k in range(0, 1000, 64))
+        pem = f"-----BEGIN PRIVATE KEY-----{newline}{lines}{newline}-----END PRIVATE KEY-----"
+        plain.append((f'"k": "{pem}{newline}"', "pem", pem))
+    got = secret_scan.scan_secrets(docs(spark, [(i, t) for i, (t, _, _) in enumerate(plain)])).orderBy("doc_id").collect()
+    for r, (text, kind, inside) in zip(got, plain, strict=True):
+        found = [(k, text[int(a) : int(b)]) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
+        assert [x for x in found if x[0] in ("der", "hexder", "pem")] == [(kind, inside)], text[:60]
+        assert r["n_hex"] == sum(k == "hex" for k, _ in found)
+    cut = [f"KEY={b64(keys[0])[:-8]}", f"KEY=x{b64(keys[0])}", f"KEY={b64(keys[0][:-1] + b'xx')}", keys[0].hex()[:-2].upper()]
+    assert not any("der" in r["spans"] for r in secret_scan.scan_secrets(docs(spark, list(enumerate(cut)))).collect())
+
+
 def test_quality(spark):
     good = [(i, " ".join(f"word{(i * 7 + k * k) % 50}" for k in range(60))) for i in range(120)]
     junk = [(1000 + i, " ".join(f"word{k}### $$$" for k in range(40))) for i in range(30)]
