@@ -2,10 +2,11 @@
 
 Two generative models over hashed n-grams (words, punctuation runs, and pairs of both) are counted: one from labelled target
 documents, one from all documents. A document's importance weight is the ratio of its probabilities under the two;
-the sample is the top k by log weight plus a Gumbel draw, which samples k documents without replacement in proportion to weight.
+the sample of each text length is the top k by log weight plus a Gumbel draw, which samples k documents without replacement in
+proportion to weight. Log weights are sums over a text's n-grams, so keys of texts of different length are never compared as they are.
 
-k is the number of documents whose key reaches that of nearly all target documents held back from
-the target model, so the classifier keeps what looks like the target as a whole.
+k is the number of documents whose key reaches a line that nearly all target documents of about that length, held back from
+the target model, reach: it's proportional to the number of n-grams, with a factor for each class of lengths.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ BUCKETS, PARTS = 1 << 20, 64
 TARGET_SAMPLE = 20_000
 #: Pseudo-counts that pull rare n-grams to a ratio of 1, and the share of held-back target documents that may fall out.
 SHRINK, MISSED = 2.0, 0.002
+#: A class of lengths has at least so many held-back documents, if there are as many; what is added to a number of n-grams, so
+#: that the few of a short text don't stretch its class's factor by chance.
+CLASS_SIZE, SLACK = 500, 30
 
 _LETTER = ~byte_set((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x5E), (0x60, 0x60), (0x7B, 0x7F))
 _PUNCTUATION = ~_LETTER & ~byte_set((0x00, 0x20), (0x7F, 0x7F))
@@ -69,31 +73,58 @@ def gumbel(ids, seed: str) -> np.ndarray:
     return -np.log(-np.log(u))
 
 
+class Cut:
+    """The least key in the sample, by number of n-grams: a factor for each class of numbers, times number plus ``SLACK``."""
+
+    def __init__(self, n: np.ndarray, keys: np.ndarray, missed: float):
+        order = np.argsort(n, kind="stable")
+        n, score = n[order], (keys / (n + SLACK))[order]
+        classes = max(1, len(n) // CLASS_SIZE)
+        self.bounds = np.unique([n[i * len(n) // classes] for i in range(1, classes)]).astype(np.int64)
+        own = np.searchsorted(self.bounds, n, side="right")
+        found = [score[own == c] for c in range(len(self.bounds) + 1)]
+        # equal numbers may leave the first class without documents: it takes the next one's factor
+        self.factors = np.array([np.quantile(x if len(x) else found[c + 1], missed, method="lower") for c, x in enumerate(found)])
+
+    def at(self, n: np.ndarray) -> np.ndarray:
+        return self.factors[np.searchsorted(self.bounds, n, side="right")] * (n + SLACK)
+
+
 class Resampler:
-    """The fitted model: log ratio of each bucket, and the least key that is in the sample."""
+    """The fitted model: log ratio of each bucket."""
 
-    def __init__(self, ratio: np.ndarray, seed: str):
-        self.ratio, self.seed, self.least = ratio, seed, -np.inf
+    def __init__(self, sent, seed: str):
+        self.ratio, self.seed = np.frombuffer(sent.value, dtype=np.float32).astype(np.float64), seed
 
-    def keys(self, ids, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, ids, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of n-grams, log weight, and key of each text."""
         bucket, owner, n = ngrams(column)
         weight = np.bincount(owner, weights=self.ratio[bucket], minlength=n)
-        return weight, weight + gumbel(ids, self.seed)
+        return np.bincount(owner, minlength=n), weight, weight + gumbel(ids, self.seed)
 
 
-def _score(batches, sent, seed: str, least: float, schema: pa.Schema):
-    model = Resampler(np.frombuffer(sent.value, dtype=np.float32).astype(np.float64), seed)
+def _score(batches, sent, seed: str, cut: Cut | None, schema: pa.Schema):
+    model = Resampler(sent, seed)
     for chunk in chunks(batches):
         at = chunk.schema.get_field_index
-        weight, key = model.keys(chunk.column(at("doc_id")).to_pylist(), chunk.column(at("text")))
+        n, weight, key = model.keys(chunk.column(at("doc_id")).to_pylist(), chunk.column(at("text")))
         out = pa.RecordBatch.from_arrays([*chunk.columns, pa.array(weight), pa.array(key)], schema=schema)
-        yield out if least == -np.inf else out.filter(pa.array(key >= least))
+        yield out if cut is None else out.filter(pa.array(key >= cut.at(n)))
 
 
-def _scored(docs: DataFrame, sent, seed: str, least: float = -np.inf) -> DataFrame:
+def _scored(docs: DataFrame, sent, seed: str, cut: Cut | None) -> DataFrame:
     out = StructType([*docs.schema.fields, StructField("log_weight", DoubleType()), StructField("key", DoubleType())])
     arrow = to_arrow_schema(out)
-    return map_arrow(docs, lambda it: _score(it, sent, seed, least, arrow), out)
+    return map_arrow(docs, lambda it: _score(it, sent, seed, cut, arrow), out)
+
+
+def _held_keys(batches, sent, kept, seed: str):
+    model, keep = Resampler(sent, seed), set(np.frombuffer(kept.value, dtype=np.int64).tolist())
+    for batch in batches:
+        own = batch.filter(pa.array([i in keep for i in batch.column(0).to_pylist()], pa.bool_()))
+        for chunk in chunks([own]):
+            n, _, key = model.keys(chunk.column(0).to_pylist(), chunk.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(key)], names=["n", "key"])
 
 
 def target_ids(labels: DataFrame, most: int = TARGET_SAMPLE, seed: str = "target") -> tuple[list[int], list[int]]:
@@ -111,8 +142,8 @@ def resample(docs: DataFrame, labels: DataFrame, missed: float = MISSED, target_
     """The sampled rows of ``docs`` with all their columns, plus log_weight and key (log weight plus Gumbel draw).
 
     Two scans without a shuffle of text: one counts n-grams of all documents and of the target sample, one scores and
-    samples. The target sample is the one thing that is bounded (``target_sample`` documents); the sample's size
-    k follows from it. Without labelled target documents every document stays. Null and empty texts have weight 0.
+    samples. The target sample is the one thing that is bounded (``target_sample`` documents); the sizes k of the
+    sample by text length follow from it. Without labelled target documents every document stays. Null and empty texts have weight 0.
     Rows that share a doc_id share the draw; rows with a null doc_id share one too. Columns log_weight and key in ``docs`` are replaced.
     """
     docs = docs.drop("log_weight", "key")
@@ -128,20 +159,13 @@ def resample(docs: DataFrame, labels: DataFrame, missed: float = MISSED, target_
     expected = raw * (good.sum() / max(1, raw.sum()))
     ratio = np.log((good + SHRINK) / (expected + SHRINK)).astype(np.float32)
     sent = spark.sparkContext.broadcast(ratio.tobytes())
-    least = -np.inf
+    cut = None
     if held and counted:
-        keep = spark.sparkContext.broadcast(np.array(held, dtype=np.int64).tobytes())
-        keys = map_arrow(docs.select(long_id, "text"), lambda it: _only(it, keep), "doc_id long, text string")
-        keys = [r["key"] for r in _scored(keys, sent, seed).select("key").collect()]
-        if keys:
-            least = float(np.quantile(keys, missed, method="lower"))
-    return _scored(docs, sent, seed, least)
-
-
-def _only(batches, sent):
-    keep = set(np.frombuffer(sent.value, dtype=np.int64).tolist())
-    for batch in batches:
-        yield batch.filter(pa.array([i in keep for i in batch.column(0).to_pylist()], pa.bool_()))
+        kept = spark.sparkContext.broadcast(np.array(held, dtype=np.int64).tobytes())
+        rows = map_arrow(docs.select(long_id, "text"), lambda it: _held_keys(it, sent, kept, seed), "n long, key double").collect()
+        if rows:
+            cut = Cut(np.array([r["n"] for r in rows]), np.array([r["key"] for r in rows]), missed)
+    return _scored(docs, sent, seed, cut)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -198,6 +198,22 @@ def test_quality(spark):
     assert quality_resampling.resample(docs(spark, rows).limit(0), labels).count() == 0
 
 
+def test_quality_is_cut_by_length(spark):
+    rng = np.random.default_rng(11)
+    text = lambda n, bad: " ".join(f"bad{k}" if b else f"word{k}" for k, b in zip(rng.integers(0, 50, n), rng.random(n) < bad, strict=True))
+    good = [(i, text(3000, 0.3 * (i % 3 == 0))) for i in range(60)] + [(100 + i, text(12, 0)) for i in range(60)]
+    junk = [(1000 + i, text(12, 1)) for i in range(60)] + [(2000 + i, text(3000, 0.6)) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality_resampling.resample(docs(spark, good + junk), labels).collect()}
+    assert len({i for i, _ in good} & kept) >= 118 and not {i for i, _ in junk} & kept
+
+
+def test_quality_line_covers_all_lengths():
+    n = np.concatenate([np.zeros(1200, dtype=np.int64), np.arange(1, 801)])
+    cut = quality_resampling.Cut(n, -0.1 * (n + quality_resampling.SLACK), 0.002)
+    assert np.allclose(cut.at(n), -0.1 * (n + quality_resampling.SLACK)) and np.isfinite(cut.at(np.array([0, 10**6]))).all()
+
+
 def test_language(spark):
     words = {"en": "the of and that with house water", "de": "der die und nicht mit haus wasser", "fr": "le la et que avec maison eau"}
     rows = [(i, " ".join(np.random.default_rng(i).permutation(w.split())), lang, "s", None, "", "") for n, (lang, w) in enumerate(words.items()) for i in range(n * 20, n * 20 + 20)]
