@@ -14,14 +14,17 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one for this application."""
+    """The folder in spark.checkpoint.dir; where that is unset on a local master, as in tests, a temporary one for this application."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="keystrata-"))
     return at
 
@@ -33,15 +36,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written_by(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
-    """As ``written``, in buckets of ``key``, so that joins on it don't shuffle this table again; and the table's name."""
-    spark = df.sparkSession
-    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
-    return spark.table(table), table
-
-
 def discard(df: DataFrame) -> None:
     """Delete what ``written`` made, once nothing reads it any more."""
     spark = df.sparkSession
@@ -51,8 +45,8 @@ def discard(df: DataFrame) -> None:
 
 
 _shipped: set[str] = set()
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch (a larger row stands alone).
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,6 +54,8 @@ def ship(spark: SparkSession) -> None:
 
     Arrow batches of this session get smaller, since texts may be long: a worker holds a whole batch.
     """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
@@ -82,6 +78,22 @@ def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+#: Bytes of text whose hashes one reducing task takes, and the least number of such tasks.
+RANGE_BYTES, LEAST_RANGES = 32 << 20, 64
+
+
+def n_ranges_for(docs: DataFrame, column: str = "text") -> int:
+    """Into how many hash ranges to deal what is made of these texts: it follows their measured bytes."""
+    total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(LEAST_RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+
+
+def filter_slots(h: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """k bit positions of a Bloom filter for each 64-bit hash (double hashing)."""
+    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    return ((a[:, None] + np.arange(k, dtype=np.uint64) * b[:, None]) & np.uint64(bits - 1)).astype(np.int64)
+
+
 PIECE_SCHEMA = "part int, payload binary"
 _PIECE = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
 
