@@ -24,13 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.graph import components
-from keystrata.llm.shared import PIECE_SCHEMA, discard, filter_slots, folded, map_arrow, n_ranges_for, pieces, written
+from keystrata.llm.shared import PIECE_SCHEMA, deltas, discard, filter_slots, folded, map_arrow, n_ranges_for, packed, pieces, unpacked, written
 from keystrata.llm.textbytes import NOT_SPACE, Texts, Words, chunks, mix, windows
 
 SHINGLE, PERCENT = 5, 80
@@ -83,30 +82,6 @@ _SENT = "at long, kind int, buffer long, payload binary"
 _SENT_ARROW = pa.schema([("at", pa.int64()), ("kind", pa.int32()), ("buffer", pa.int64()), ("payload", pa.binary())])
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as byte planes (high planes of small or sorted numbers compress well), with their types and lengths in front."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], dtype=np.int64).tobytes()
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
-
-
-def _unpacked(payload: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(payload)
-    k = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
-    told = np.frombuffer(raw, dtype=np.int64, count=2 * k, offset=8).tolist()
-    at, out = 8 + 16 * k, []
-    for kind, n in zip(told[::2], told[1::2], strict=True):
-        t = np.dtype(chr(kind))
-        planes = np.frombuffer(raw, dtype=np.uint8, count=t.itemsize * n, offset=at).reshape(t.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(t).ravel())
-        at += t.itemsize * n
-    return out
-
-
-def _deltas(a: np.ndarray) -> np.ndarray:
-    return np.diff(a, prepend=a.dtype.type(0))
-
-
 class _Buffer:
     """Documents and distinct sets of a part of a task's rows; nodes are numbered within it."""
 
@@ -148,8 +123,8 @@ class _Buffer:
         key, node = key[order], node[order]
         edges = np.searchsorted(key, np.arange(self.n_ranges + 1, dtype=np.uint64) << np.uint64(32))
         full = np.flatnonzero(np.diff(edges))
-        blobs = [_packed(_deltas((key[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), node[a:b]) for a, b in zip(edges[full], edges[full + 1], strict=True)]
-        own = _packed(*docs, *nodes)
+        blobs = [packed(deltas((key[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), node[a:b]) for a, b in zip(edges[full], edges[full + 1], strict=True)]
+        own = packed(*docs, *nodes)
         k = len(full)
         return pa.RecordBatch.from_arrays([
             pa.array([*full.tolist(), -1 - self.name % self.n_ranges], pa.int64()), pa.array([_POSTINGS] * k + [_DOCUMENTS], pa.int32()),
@@ -181,7 +156,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch
             continue
         for name, payload in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            delta, node = _unpacked(payload)
+            delta, node = unpacked(payload)
             names.append(name)
             prints.append(np.cumsum(delta, dtype=np.uint32))
             nodes.append(node)
@@ -200,7 +175,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     prints, nodes, blob, often = prints[order], nodes[order], blob[order], often[order]
     edges = np.searchsorted(blob, np.arange(len(names) + 1))
     full = np.flatnonzero(np.diff(edges)).tolist()
-    blobs = [_packed(np.array([at], dtype=np.int64), _deltas(prints[a:b]), nodes[a:b], often[a:b]) for a, b in ((edges[k], edges[k + 1]) for k in full)]
+    blobs = [packed(np.array([at], dtype=np.int64), deltas(prints[a:b]), nodes[a:b], often[a:b]) for a, b in ((edges[k], edges[k + 1]) for k in full)]
     yield pa.RecordBatch.from_arrays([pa.array([at] * len(full), pa.int64()), pa.array([_ANSWER] * len(full), pa.int32()), pa.array([names[k] for k in full], pa.int64()), pa.array(blobs, pa.binary())], schema=_SENT_ARROW)
 
 
@@ -215,7 +190,7 @@ def _prefixes(percent: int):
         own, answers = [], []
         for batch in batches:
             for kind, payload in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                (own if kind == _DOCUMENTS else answers).append(_unpacked(payload))
+                (own if kind == _DOCUMENTS else answers).append(unpacked(payload))
         ids, valid, marks, size, number, sig, sig2, n, *parity = own[0]
         some = number >= 0
         of = lambda a: pa.array(a[np.maximum(number, 0)] if len(a) else np.zeros(len(number), dtype=np.int64), mask=~some)
@@ -265,10 +240,10 @@ def _candidate_texts(size: int, seed: int, sent):
     schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("words", pa.binary())])
 
     def run(batches):
-        packed = np.frombuffer(sent.value, dtype=np.uint8)
+        bits = np.frombuffer(sent.value, dtype=np.uint8)
         for batch in batches:
             s = _in_filter(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            batch = batch.filter(pa.array(((packed[s >> 3] >> (s & 7).astype(np.uint8)) & 1).all(axis=1)))
+            batch = batch.filter(pa.array(((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1).all(axis=1)))
             for chunk in chunks([batch]):
                 sets, texts = Sets(chunk.column(1), size), Texts(chunk.column(1))
                 some = np.flatnonzero(sets.n)
@@ -365,12 +340,12 @@ def _star_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
 
     Every prefix shingle has one leader: in the first round the node that meets most others at its shingles, which is
     the likely original of a group of near copies; later one chosen by a hash that changes from round to round.
-    Leaders are a table, so that the join with a shingle that very many nodes have can be split.
+    Sizes and leaders are tables, so that their joins with a shingle that very many nodes have can be split.
     """
     if turn:
         placed = placed.withColumn("rank", F.xxhash64(F.lit(turn), "sig"))
     else:
-        sizes = placed.groupBy("token").agg(F.count("*").alias("k"))
+        sizes = written(placed.groupBy("token").agg(F.count("*").alias("k")), "sizes")
         degree = placed.join(sizes, "token").groupBy("sig").agg((-F.sum("k")).alias("rank"))
         placed = placed.join(degree, "sig")
     lead = F.min(F.struct("rank", F.col("sig").alias("lead"), F.col("n").alias("lead_n"), F.col("pos").alias("lead_pos"), F.col("component").alias("lead_component")))
@@ -415,7 +390,7 @@ def _classes(docs: DataFrame, size: int, percent: int, n_ranges: int | None) ->
     real = docs.where("doc_id is not null and text is not null")
     rows = first.where("not is_doc").select("token", "sig", "n", "pos")
     met = written(rows.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("token"), "met")
-    meetings = written(rows.join(met, "token").groupBy("token", "sig").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "meetings")
+    meetings = written(rows.join(met, "token").repartition("token", "sig").groupBy("token", "sig").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "meetings")
     place = written(meetings.select("sig").distinct().withColumn("component", F.col("sig")), "components")
     for turn in range(STAR_ROUNDS + 1):
         placed = written(meetings.join(place, "sig"), "placed") if turn else meetings.withColumn("component", F.col("sig"))

@@ -94,6 +94,30 @@ def filter_slots(h: np.ndarray, bits: int, k: int) -> np.ndarray:
     return ((a[:, None] + np.arange(k, dtype=np.uint64) * b[:, None]) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as byte planes (high planes of small or sorted numbers compress well), with their types and lengths in front."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], dtype=np.int64).tobytes()
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+
+
+def unpacked(payload: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    k = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
+    told = np.frombuffer(raw, dtype=np.int64, count=2 * k, offset=8).tolist()
+    at, out = 8 + 16 * k, []
+    for kind, n in zip(told[::2], told[1::2], strict=True):
+        t = np.dtype(chr(kind))
+        planes = np.frombuffer(raw, dtype=np.uint8, count=t.itemsize * n, offset=at).reshape(t.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(t).ravel())
+        at += t.itemsize * n
+    return out
+
+
+def deltas(a: np.ndarray) -> np.ndarray:
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
 PIECE_SCHEMA = "part int, payload binary"
 _PIECE = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
 

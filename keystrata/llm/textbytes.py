@@ -38,6 +38,8 @@ _WEYL, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 #: Window hashes are Rabin-Karp hashes modulo this prime, to this base.
 PRIME = (1 << 61) - 1
 _BASE = 0x0A3EC647659359AC
+#: Another base, for a second hash that is independent of the first.
+OTHER_BASE = 0x16E8FEB86659FD93
 #: Words of more bytes are hashed one by one.
 _LONG_WORD = 256
 
@@ -176,7 +178,7 @@ class Words:
         return self.texts.data[self.starts[k] : self.ends[k]].tobytes()
 
 
-def windows(words: np.ndarray, first: np.ndarray, size: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(words: np.ndarray, first: np.ndarray, size: int, short: bool = False, base: int = _BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` consecutive words within a text.
 
     Returns (hash, first word, text) of each window. With ``short``, a text of fewer words, but not
@@ -190,7 +192,7 @@ def windows(words: np.ndarray, first: np.ndarray, size: int, short: bool = False
     before = np.concatenate(([0], np.cumsum(n)))[:-1]
     start = np.arange(len(text)) - before[text] + first[:-1][text]
     end = np.minimum(start + size, first[1:][text])
-    h = rolling(words, start, end) + (end - start).astype(U64) * U64(_WEYL)
+    h = rolling(words, start, end, base) + (end - start).astype(U64) * U64(_WEYL)
     return mix(h), start, text
 
 
