@@ -3,12 +3,16 @@
 Two Bloom filters over line hashes, one for keys seen at least once and one for keys seen at least twice,
 are filled by every task and folded. Only keys that the second one holds go into a shuffle, where they are
 counted exactly and their first occurrence is chosen. A filter's false positives cost shuffle, never a
-line. The filters have a fixed size, so what is broadcast doesn't grow with the data; a corpus too large for
-them has more suspects, and the same result.
+line. The filters' size follows the number of lines up to a bound that can be broadcast; beyond that there are more suspects, and the same result.
+
+The lines to drop, found in many documents each, are far fewer than documents. While their measured size can be broadcast, every text is
+cut where it is read and none is shuffled; beyond, each document's own lines to drop meet it in a join.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,11 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from keystrata.llm.shared import PIECE_SCHEMA, folded, map_arrow, pieces, written
+from keystrata.llm.shared import PIECE_SCHEMA, discard, filter_slots, folded, map_arrow, pieces, written
 from keystrata.llm.textbytes import chunks
 
-#: Bits of each filter (2 x 4 MB are broadcast) and hash functions.
-BLOOM_BITS, BLOOM_HASHES, BLOOM_PARTS = 1 << 25, 3, 64
+#: Hash functions of each filter, bits for each line, the least and most bits of a filter (64 MB are broadcast at most; about
+#: 3 x 10^8 lines leave it half empty), and the parts it is folded in.
+BLOOM_HASHES, BITS_A_LINE, LEAST_BITS, MOST_BITS, BLOOM_PARTS = 3, 12, 1 << 20, 1 << 29, 64
+#: Bytes of lines to drop (and 100 for each) that may be broadcast.
+BROADCAST_BYTES = 48 << 20
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -34,12 +41,6 @@ def _long_enough(key: bytes, least: int) -> bool:
     return len(key) >= least and (least <= 1 or len(key.decode("utf-8", "replace")) >= least)
 
 
-def _slots(h: np.ndarray, bits: int, k: int) -> np.ndarray:
-    """k bit positions for each 64-bit hash (double hashing)."""
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return ((a[:, None] + np.arange(k, dtype=np.uint64) * b[:, None]) & np.uint64(bits - 1)).astype(np.int64)
-
-
 class TwiceFilter:
     """Which keys may have been seen twice; never misses one."""
 
@@ -47,23 +48,24 @@ class TwiceFilter:
         self.packed, self.bits, self.k = packed, bits, k
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        s = _slots(h, self.bits, self.k)
+        s = filter_slots(h, self.bits, self.k)
         return ((self.packed[s >> 3] >> (s & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
 def _fill(batches, least: int, bits: int, k: int):
-    once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
+    once, twice = np.zeros(bits // 8, dtype=np.uint8), np.zeros(bits // 8, dtype=np.uint8)
     for chunk in chunks(batches):
         seen = []
         for text in chunk.column(0).cast(pa.large_binary()).to_pylist():
             keys = {line_key(x) for x in (text or b"").split(b"\n")}
             seen += [xxhash.xxh3_64_intdigest(x) for x in keys if _long_enough(x, least)]
         h, n = np.unique(np.array(seen, dtype=np.uint64), return_counts=True)
-        s = _slots(h, bits, k)
-        again = (n > 1) | once[s].all(axis=1)
-        twice[s[again].ravel()] = True
-        once[s.ravel()] = True
-    yield pieces([np.packbits(once, bitorder="little"), np.packbits(twice, bitorder="little")], BLOOM_PARTS)
+        s = filter_slots(h, bits, k)
+        at, bit = s >> 3, np.uint8(1) << (s & 7).astype(np.uint8)
+        again = (n > 1) | ((once[at] & bit) > 0).all(axis=1)
+        np.bitwise_or.at(twice, at[again].ravel(), bit[again].ravel())
+        np.bitwise_or.at(once, at.ravel(), bit.ravel())
+    yield pieces([once, twice], BLOOM_PARTS)
 
 
 def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,7 +74,15 @@ def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate((a[:n] | b[:n], a[n:] | b[n:] | (a[:n] & b[:n])))
 
 
-def twice_filter(docs: DataFrame, least: int = 1, bits: int = BLOOM_BITS, k: int = BLOOM_HASHES) -> TwiceFilter:
+def bits_for(lines: int) -> int:
+    """The power of two of at least ``BITS_A_LINE`` bits a line, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_LINE * max(1, lines) - 1).bit_length()))
+
+
+def twice_filter(docs: DataFrame, least: int = 1, bits: int | None = None, k: int = BLOOM_HASHES) -> TwiceFilter:
+    if bits is None:
+        breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+        bits = bits_for(docs.agg(F.sum(F.coalesce(breaks, F.lit(0)) + 1)).first()[0] or 0)
     parts = map_arrow(docs.select("text"), lambda it: _fill(it, least, bits, k), PIECE_SCHEMA)
     got = folded(parts, BLOOM_PARTS, np.uint8, _both)
     size = bits // 8 // BLOOM_PARTS
@@ -80,6 +90,16 @@ def twice_filter(docs: DataFrame, least: int = 1, bits: int = BLOOM_BITS, k: int
     return TwiceFilter(np.concatenate([got.get(p, empty)[size:] for p in range(BLOOM_PARTS)]), bits, k)
 
 
+_COUNT = "key binary, n long, least long"
+_COUNT_ARROW = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("least", pa.int64())])
+
+
+def _counts(batches, least: int, filter_of):
+    """(key, documents of the chunk that have it, their smallest id) of the suspected keys."""
+    for batch in _suspects(((c.append_column("mark", pa.nulls(c.num_rows, pa.int64()))) for c in batches), least, filter_of):
+        yield batch.select(["key", "n", "least"])
+
+
 _SUSPECT = "key binary, n long, least long, holders array<struct<doc_id:long,mark:long,line:int>>"
 _HOLDERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32())]))
 _SUSPECT_ARROW = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("least", pa.int64()), ("holders", _HOLDERS)])
@@ -111,55 +131,93 @@ def _suspects(batches, least: int, filter_of):
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([len(v) for v in found.values()], pa.int64()), pa.array(least_id, pa.int64()), pa.array(list(found.values()), _HOLDERS)], schema=_SUSPECT_ARROW)
 
 
-def _dropped(batches, schema: pa.Schema):
-    """Replace text, and append n_lines and n_dropped; the last column lists (line, kept here) of the keys to drop."""
+def _cut(batches, schema: pa.Schema, keep_lines):
+    """Replace text, and append n_lines and n_dropped; ``keep_lines(chunk)`` gives for each row the lines kept of all its lines."""
     for chunk in chunks(batches):
         at = chunk.schema.get_field_index("text")
         texts, n_lines, n_dropped = [], [], []
-        for text, gone in zip(chunk.column(at).cast(pa.large_binary()).to_pylist(), chunk.column(chunk.num_columns - 1).to_pylist(), strict=True):
-            lines = (text or b"").split(b"\n")
-            kept = lines
-            if gone:
-                keep = {g["line"] for g in gone if g["first"]}
-                keys = {line_key(lines[g["line"]]) for g in gone}
-                kept = [x for j, x in enumerate(lines) if j in keep or line_key(x) not in keys]
+        for lines, kept in keep_lines(chunk, at):
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
             texts.append(b"\n".join(kept))
-        columns = [*chunk.columns[:-1], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+        columns = [*chunk.columns[: len(schema) - 2], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
         columns[at] = pa.array(texts, pa.large_binary()).cast(schema.field(at).type)
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> DataFrame:
+def _lines(chunk: pa.RecordBatch, at: int):
+    return ((text or b"").split(b"\n") for text in chunk.column(at).cast(pa.large_binary()).to_pylist())
+
+
+def _by_keys(sent, keep_first: bool):
+    """Lines kept where all keys to drop are at hand, each with the smallest doc_id that has it."""
+
+    def keep(chunk, at):
+        least = sent.value
+        ids = chunk.column(chunk.schema.get_field_index("doc_id")).cast(pa.int64()).to_pylist() if keep_first else [None] * chunk.num_rows
+        for doc_id, lines in zip(ids, _lines(chunk, at), strict=True):
+            kept, seen = [], set()
+            for x in lines:
+                key = line_key(x)
+                if key not in least:
+                    kept.append(x)
+                elif doc_id is not None and least[key] == doc_id and key not in seen:
+                    kept.append(x)
+                    seen.add(key)
+            yield lines, kept
+
+    return keep
+
+
+def _by_marks(chunk, at):
+    """Lines kept where the last column lists (line, kept here) of the keys to drop."""
+    for lines, gone in zip(_lines(chunk, at), chunk.column(chunk.num_columns - 1).to_pylist(), strict=True):
+        if not gone:
+            yield lines, lines
+            continue
+        keep = {g["line"] for g in gone if g["first"]}
+        keys = {line_key(lines[g["line"]]) for g in gone}
+        yield lines, [x for j, x in enumerate(lines) if j in keep or line_key(x) not in keys]
+
+
+def drop_common_lines(
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, bits: int | None = None, hashes: int = BLOOM_HASHES, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """All columns of ``docs``, text without the lines whose key ``min_docs`` documents have, plus n_lines and n_dropped.
 
     A line's key is the line stripped of white space, A-Z lower-cased; keys under ``min_chars`` code points
     never count. With ``keep_first`` the document with the smallest doc_id keeps the key's first line.
-    Each row is a document, so repeated rows count separately; a null or empty text is one empty line.
-    A null doc_id is never the first. Names n_lines and n_dropped in ``docs`` are replaced.
+    Each row is a document, so repeated rows count separately, whatever their doc_id; a null or empty text is one empty line.
+    A null doc_id is never the first. Names n_lines and n_dropped in ``docs`` are replaced; no other name matters.
     """
     docs = docs.drop("n_lines", "n_dropped")
     spark = docs.sparkSession
     twice = twice_filter(docs, min_chars, bits, hashes)
+    n_bits = twice.bits
     sent = spark.sparkContext.broadcast(twice.packed.tobytes())
-    filter_of = lambda: TwiceFilter(np.frombuffer(sent.value, dtype=np.uint8), bits, hashes)
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    suspects = map_arrow(marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_mark"), lambda it: _suspects(it, min_chars, filter_of), _SUSPECT)
-    # a table, not a subplan: the join that follows then has a plain exchange on either side, so Spark can split a hot key's holders
-    common = written(suspects.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where(F.col("n") >= min_docs).select("key", "least"), "common")
+    filter_of = lambda: TwiceFilter(np.frombuffer(sent.value, dtype=np.uint8), n_bits, hashes)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counts = map_arrow(texts, lambda it: _counts(it, min_chars, filter_of), _COUNT)
+    # a table, not a subplan: should a join follow, it has a plain exchange on either side, so Spark can split a hot key's holders
+    common = written(counts.groupBy("key").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where(F.col("n") >= min_docs).select("key", "least"), "common")
+    out = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    arrow = to_arrow_schema(out)
+    if (common.agg(F.sum(F.octet_length("key") + 100)).first()[0] or 0) <= broadcast_bytes:
+        drop = spark.sparkContext.broadcast({bytes(r["key"]): r["least"] for r in common.collect()})
+        discard(common)
+        return map_arrow(docs, lambda it: _cut(it, arrow, _by_keys(drop, keep_first)), out)
+    doc, mark, gone, m = (f"_{uuid.uuid4().hex}" for _ in range(4))  # no column of the caller's has these names
+    marked = docs.withColumn(m, F.xxhash64("text"))
+    suspects = map_arrow(marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(m).alias("mark")), lambda it: _suspects(it, min_chars, filter_of), _SUSPECT)
     drops = (
         suspects.select("key", "holders").join(common, "key")
         .select(F.explode("holders").alias("h"), "least")
         .select("h.*", (F.lit(keep_first) & F.coalesce(F.col("h.doc_id") == F.col("least"), F.lit(False))).alias("first"))
-        .groupBy("doc_id", "mark").agg(F.collect_set(F.struct("line", "first")).alias("_gone"))
-        .withColumnsRenamed({"doc_id": "_doc", "mark": "_m"})
+        .groupBy("doc_id", "mark").agg(F.collect_set(F.struct("line", "first")).alias(gone))
+        .withColumnsRenamed({"doc_id": doc, "mark": mark})
     )
-    names = [c for c in marked.columns if c != "_mark"]
-    joined = marked.join(drops, marked["doc_id"].cast("long").eqNullSafe(drops["_doc"]) & (marked["_mark"] == drops["_m"]), "left").select(*[marked[c] for c in names], "_gone")
-    out = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    arrow = to_arrow_schema(out)
-    return map_arrow(joined, lambda it: _dropped(it, arrow), out)
+    joined = marked.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(m) == F.col(mark)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], gone)
+    return map_arrow(joined, lambda it: _cut(it, arrow, _by_marks), out)
 
 
 def digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -173,12 +231,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-k AS (SELECT doc_id, line, i, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+k AS (SELECT r, doc_id, line, i, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE c.key IS NOT NULL))::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN c ON k.key = c.key GROUP BY doc_id
+FROM k LEFT JOIN c ON k.key = c.key GROUP BY r, doc_id
 """

@@ -75,6 +75,17 @@ def test_line_dedup(spark):
     assert first[0][1] == "own 0\n  Common Line \n\nlast" and first[1][1] == "own 1\n"
     tiny = line_dedup.drop_common_lines(docs(spark, rows), bits=512, hashes=2)  # nearly all keys are suspects: same result
     assert {r["doc_id"]: r["n_dropped"] for r in tiny.collect()} == {k: v[2] for k, v in got.items()}
+    joined = line_dedup.drop_common_lines(docs(spark, rows), broadcast_bytes=-1).collect()  # the other way, without a broadcast
+    assert {r["doc_id"]: r["n_dropped"] for r in joined} == {k: v[2] for k, v in got.items()}
+    joined = line_dedup.drop_common_lines(docs(spark, rows), keep_first=True, broadcast_bytes=-1)
+    assert table(joined.select("doc_id", "text")) == first
+
+
+def test_line_dedup_takes_each_row_for_a_document(spark):
+    rows = [(1, "a\nb")] * 10 + [(2, "a\nc")]
+    for broadcast_bytes in (-1, 1 << 20):
+        got = line_dedup.drop_common_lines(docs(spark, rows), broadcast_bytes=broadcast_bytes).collect()
+        assert sorted((r["doc_id"], r["n_dropped"]) for r in got) == [(1, 2)] * 10 + [(2, 1)]
 
 
 def test_licenses(spark):
@@ -208,10 +219,32 @@ def test_quality_is_cut_by_length(spark):
     assert len({i for i, _ in good} & kept) >= 118 and not {i for i, _ in junk} & kept
 
 
-def test_quality_line_covers_all_lengths():
+def test_quality_scale_covers_all_lengths():
     n = np.concatenate([np.zeros(1200, dtype=np.int64), np.arange(1, 801)])
-    cut = quality_resampling.Cut(n, -0.1 * (n + quality_resampling.SLACK), 0.002)
-    assert np.allclose(cut.at(n), -0.1 * (n + quality_resampling.SLACK)) and np.isfinite(cut.at(np.array([0, 10**6]))).all()
+    scale = quality_resampling.Scale(n, -0.1 * (n + quality_resampling.SLACK), 0.002)
+    assert np.allclose(scale.normal(n, -0.1 * (n + quality_resampling.SLACK)), 0) and np.isfinite(scale.normal(np.array([0, 10**6]), np.array([0.0, -5.0]))).all()
+
+
+@pytest.mark.parametrize("k", [0, 1, 37, 100, 149, 500])
+def test_quality_takes_exactly_the_k_largest_keys(spark, k):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"{'bad' if i % 5 == 0 else 'word'}{x}" for x in rng.integers(0, 40, 5 + i % 60))) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(0, 150, 2)], "doc_id long, quality int, toxic int")
+    every = {r["doc_id"]: r["key"] for r in quality_resampling.resample(docs(spark, rows), labels, k=10**9).collect()}
+    assert len(every) == 150
+    got = quality_resampling.resample(docs(spark, rows), labels, k=k)
+    assert {r["doc_id"] for r in got.collect()} == set(sorted(every, key=lambda i: (-every[i], i))[:k])
+
+
+def test_kth_largest_and_ties(spark):
+    xs = [-5, -5, 0, 3, 3, 3, 1 << 62, -(1 << 63), (1 << 63) - 1]
+    df = spark.createDataFrame([(x,) for x in xs], "x long")
+    for k in range(1, len(xs) + 1):
+        want = sorted(xs, reverse=True)[k - 1]
+        assert quality_resampling.kth_largest(df, k) == (want, sum(x > want for x in xs))
+    keys = spark.createDataFrame([(i, 1.0, 7) for i in (5, 1, 9, None, 3)] + [(0, 0.5, 6), (2, 2.0, 8)], "doc_id long, key double, x long")
+    taken = [quality_resampling._line(keys, k).takes(pa.array([5, 1, 9, None, 3, 0, 2]), np.array([1.0] * 5 + [0.5, 2.0])).tolist() for k in (1, 3, 5)]
+    assert [[i for i, t in zip((5, 1, 9, None, 3, 0, 2), x, strict=True) if t] for x in taken] == [[2], [1, 3, 2], [5, 1, 9, 3, 2]]
 
 
 def test_language(spark):
