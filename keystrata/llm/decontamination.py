@@ -8,19 +8,21 @@ last block selects a bucket of patterns, which are compared with the text direct
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from keystrata.llm.shared import map_arrow, written
 from keystrata.llm.textbytes import ALNUM_LOWER, Texts, Words, chunks, mix
 
 SIZE, MIN_ITEMS = 8, 2
-#: Bytes of benchmark text that one scan takes; a larger benchmark is searched in several scans.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that one scan takes (a worker holds some 70 times as much); a larger benchmark is searched in several scans.
+BLOCK_BYTES = 4 << 20
 SHIFT_SLOTS = 1 << 20
 
 
@@ -84,10 +86,10 @@ def compiled(items: list[tuple[object, str]], size: int = SIZE) -> list[Matcher]
     return list(by_length.values())
 
 
-_FOUND = [("_n_words", pa.int64()), ("_hit", pa.list_(pa.int64())), ("_items", pa.list_(pa.string()))]
+_HIT, _ITEMS = pa.list_(pa.int64()), pa.list_(pa.string())
 
 
-def _scan(batches, sent, size: int, first: bool):
+def _scan(batches, sent, size: int, first: bool, names: list[str]):
     """Append, or extend, the words hit (as intervals start, end, start, end, ...) and the items found."""
     matchers = compiled(sent.value, size)
     for chunk in chunks(batches):
@@ -113,37 +115,49 @@ def _scan(batches, sent, size: int, first: bool):
                 else:
                     merged += (a, b)
             hit.append(merged)
-        arrays = [*chunk.columns[:held], pa.array(words.counts.astype(np.int64)), pa.array(hit, _FOUND[1][1]), pa.array([sorted(items[i]) if i in items else [] for i in range(len(hit))], _FOUND[2][1])]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*chunk.schema.names[:held], *(n for n, _ in _FOUND)])
+        arrays = [*chunk.columns[:held], pa.array(words.counts.astype(np.int64)), pa.array(hit, _HIT), pa.array([sorted(items[i]) if i in items else [] for i in range(len(hit))], _ITEMS)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*chunk.schema.names[:held], *names])
+
+
+def _blocks_of(items: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """Items dealt by hash into as many blocks as it takes for each to have at most ``block_bytes`` bytes, or one item."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    while True:
+        block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+        large = items.groupBy(block.alias("block")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("k")).where((F.col("bytes") > block_bytes) & (F.col("k") > 1))
+        if n == 1 or large.isEmpty():
+            return [items.where(block == k) for k in range(n)]
+        n *= 2
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` plus n_words, hit (word intervals start, end, ... in text order) and items (found item_ids).
 
     No shuffle: the benchmark, whose bytes are counted first, goes to the tasks in blocks of at most ``block_bytes`` (a
-    longer item alone), and each block takes one scan. Null texts have no words; items without words or without item_id
-    aren't sought; rows that repeat an item_id are one item. Columns n_words, hit and items in ``docs`` are replaced.
+    longer item alone), and each block takes one scan. Null and empty texts have no words and no hits; items without words or without item_id
+    aren't sought; rows that repeat an item_id are one item, and equal ones are sought once. Repeated documents are judged each. Empty tables give
+    no hits, or no rows. Columns n_words, hit and items in ``docs`` are replaced; no other name matters.
     """
     docs = docs.drop("n_words", "hit", "items")
     spark = docs.sparkSession
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // (block_bytes // 2)))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_n_words long, _hit array<long>, _items array<string>"])
-    out = docs
-    for k in range(n_blocks):
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
+    names = [f"_{uuid.uuid4().hex}" for _ in range(3)]
+    fields = [StructField(n, t) for n, t in zip(names, (LongType(), ArrayType(LongType()), ArrayType(StringType())), strict=True)]
+    schema, out, blocks = StructType([*docs.schema.fields, *fields]), docs, _blocks_of(items, block_bytes)
+    for k, block in enumerate(blocks):
         sent = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in block.collect()])
-        out = map_arrow(out, lambda it, sent=sent, first=k == 0: _scan(it, sent, size, first), schema)
-        if k + 1 < n_blocks:
+        out = map_arrow(out, lambda it, sent=sent, first=k == 0: _scan(it, sent, size, first, names), schema)
+        if k + 1 < len(blocks):
             out = written(out, "decontamination")
-    return out.withColumnsRenamed({"_n_words": "n_words", "_hit": "hit", "_items": "items"})
+    return out.withColumnsRenamed(dict(zip(names, ("n_words", "hit", "items"), strict=True)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, min_items: int = MIN_ITEMS) -> DataFrame:
     """The documents in which fewer than ``min_items`` benchmark items occur, with the columns of ``docs``."""
-    found = find_contamination(docs, benchmark, size)
-    return found.where(F.size("items") < min_items).select(*docs.columns)
+    own = {c: f"_{uuid.uuid4().hex}" for c in docs.columns if c in ("n_words", "hit", "items")}  # the caller's come back as they were
+    found = find_contamination(docs.withColumnsRenamed(own), benchmark, size)
+    return found.where(F.size("items") < min_items).select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

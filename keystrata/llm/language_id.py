@@ -136,7 +136,7 @@ def _forward(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pieces: Pi
                 top[top == 0] = 1.0
                 alpha[:done] /= top[:, None]
                 scale[:done] += np.log(top)
-    return np.maximum(out, -1e300)
+    return np.maximum(out, -1e30)
 
 
 def expected_counts(words: list[bytes], weights: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:

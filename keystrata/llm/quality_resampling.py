@@ -108,7 +108,7 @@ class Resampler:
     def weights(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of n-grams, and log weight, of each text; equal texts have equal ones, whatever stands beside them."""
         bucket, owner, n = ngrams(column)
-        return np.bincount(owner, minlength=n), np.bincount(owner, weights=self.ratio[bucket], minlength=n)
+        return np.bincount(owner, minlength=n), np.bincount(owner, weights=self.ratio[bucket], minlength=n).astype(np.float64)
 
 
 _WEIGHED = "doc_id long, n long, log_weight double, draw double, held boolean"

@@ -78,14 +78,14 @@ def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
-#: Bytes of text whose hashes one reducing task takes, and the least number of such tasks.
-RANGE_BYTES, LEAST_RANGES = 32 << 20, 64
+#: Bytes of text whose hashes one reducing task takes; so many tasks share the work from as many MB on.
+RANGE_BYTES, EVEN_RANGES = 32 << 20, 64
 
 
 def n_ranges_for(docs: DataFrame, column: str = "text") -> int:
     """Into how many hash ranges to deal what is made of these texts: it follows their measured bytes."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(LEAST_RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    return max(1, min(EVEN_RANGES, total >> 20), -(-total // RANGE_BYTES))
 
 
 def filter_slots(h: np.ndarray, bits: int, k: int) -> np.ndarray:

@@ -7,10 +7,16 @@ DataFrame code: one aggregation by source with partial sums, windows over one ro
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keystrata.llm.shared import written
+
+#: A table of targets of at most so many rows is broadcast.
+BROADCAST_ROWS = 100_000
 #: The contract's weights, by rank of the source name, repeating.
 WEIGHTS = (1, 2, 3)
 MAX_RATE = 3
@@ -49,25 +55,44 @@ def _chance(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
+def _planned(docs: DataFrame, weights: tuple[int, ...], max_rate: int, seed: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with four more columns, and their names, which no column of the caller's has: size, source_size, target and copies.
+
+    The table of targets is written and counted first. It is broadcast if it is small; otherwise the join's two sides are plain
+    exchanges, so that Spark can split a hot source's documents.
+    """
+    size, source, total, target, copies = (f"_{uuid.uuid4().hex}" for _ in range(5))
+    docs = docs.withColumn(size, size_of(F.col("text")))
+    targets = source_targets(docs.select("source", F.col(size).alias("size")), weights, max_rate).select(F.col("source").alias(source), F.col("source_size").alias(total), F.col("target").alias(target))
+    targets = written(targets, "targets")
+    if targets.count() <= BROADCAST_ROWS:
+        targets = F.broadcast(targets)
+    joined = docs.join(targets, F.col("source").eqNullSafe(F.col(source)), "left").drop(source)
+    rate = F.when(F.col(total) > 0, F.col(target) / F.col(total).cast("double")).otherwise(F.lit(0.0))
+    extra = (_chance(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    return joined.withColumn(copies, F.floor(rate).cast("long") + extra), [size, total, target, copies]
+
+
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = "mix") -> DataFrame:
     """All columns of ``docs`` plus size, source_size, target and copies: how often the mix emits the document.
 
     Rows with a null source form a source of their own, ranked last. Repeated rows count each; rows that share
-    a doc_id also share the draw. A source without words has target 0 and no copies. An empty table gives an empty one.
-    Columns of these names in ``docs`` are replaced.
+    a doc_id also share the draw. A source without words (null, empty or white texts) has target 0 and no copies. An empty table gives an
+    empty one. Columns of these four names in ``docs`` are replaced; no other name matters.
     """
-    docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", size_of(F.col("text")))
-    targets = source_targets(docs.select("source", "size"), weights, max_rate).withColumnRenamed("source", "_source")
-    joined = docs.join(targets, docs["source"].eqNullSafe(targets["_source"]), "left").drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
-    extra = (_chance(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("copies", F.floor(rate).cast("long") + extra)
+    names = ["size", "source_size", "target", "copies"]
+    planned, own = _planned(docs.drop(*names), weights, max_rate, seed)
+    return planned.withColumnsRenamed(dict(zip(own, names, strict=True)))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = "mix") -> DataFrame:
-    """The mix itself: each document as often as planned, with copy numbered from 1."""
-    planned = plan_mix(docs, weights, max_rate, seed).where("copies > 0")
-    return planned.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    """The mix itself: each document as often as planned, with all its columns, and copy numbered from 1 (a column copy is replaced).
+
+    Nulls, repeats and empty tables are as in ``plan_mix``.
+    """
+    docs = docs.drop("copy")
+    planned, (_, _, _, copies) = _planned(docs, weights, max_rate, seed)
+    return planned.where(F.col(copies) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias("copy"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

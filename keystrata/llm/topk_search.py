@@ -201,18 +201,23 @@ def _with_floor(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(floors, pa.binary())], names=[*batch.schema.names[:-1], "floor"])
 
 
+#: Rows that take part.
+_VALID = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k candidates with the highest integer inner product, ties to the smaller vec_id.
 
     Both inputs have vec_id and embedding; components become floor(scale * x). Rows with a null vec_id,
     null vector or a null or non-finite component take no part. A query is never its own candidate (rows that
-    share its vec_id aren't either). Of queries that repeat a vec_id the smallest vector counts. Vectors of unequal
+    share its vec_id aren't either). Of queries that repeat a vec_id the smallest of the vectors that take part counts; candidates that repeat one count each.
+    Other columns are ignored. Vectors of unequal
     length are taken as padded with zeros. Fewer than k candidates give fewer rows; no queries or no candidates give none.
     """
     spark = vectors.sparkSession
     ship(spark)
-    base = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    asked = queries.where("vec_id is not null and embedding is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
+    base = vectors.where(_VALID).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asked = queries.where(_VALID).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
     shards = written(map_arrow(base, _packed(SHARD, scale), _SHARD), "shards")
     blocks = written(map_arrow(asked, _packed(BLOCK, scale), _SHARD).withColumnRenamed("shard", "block"), "query-blocks")
     n_shards, n_blocks = shards.count(), blocks.count()

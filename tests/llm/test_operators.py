@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from keystrata.llm import decontamination, jaccard_join, language_id, license_scan, line_dedup, quality_resampling, secret_scan, source_mixing, substring_dedup, topk_search
 from keystrata.llm.textbytes import NOT_SPACE, Texts, Words, windows
 
+#: Names that operators use, or used, themselves, with values that tell whether a column is carried over.
+CLASHES = ["_mark", "_gone", "_source", "copy", "size", "target", "copies", "source_size", "_hit", "_n_words", "_items", "n_words", "hit", "items", "key", "log_weight", "n_lines", "n_dropped", "mark", "sig", "component", "n", "is_doc", "held", "block", "g", "h"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, key string"
 
 
@@ -321,3 +323,187 @@ def test_jaccard_parities_never_exceed_the_true_difference():
     for i, a in enumerate(parts):
         for j, b in enumerate(parts):
             assert sum(int(x).bit_count() for x in parity[i] ^ parity[j]) <= len(np.setxor1d(a, b))
+
+
+def clashing(df):
+    return df.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
+
+
+BENCH = "item_id long, text string"
+#: Each operator on whole rows: (what it takes, the columns that it replaces).
+WHOLE = {
+    "mix": (lambda spark, d: source_mixing.mix(d), {"copy"}),
+    "plan_mix": (lambda spark, d: source_mixing.plan_mix(d), {"size", "source_size", "target", "copies"}),
+    "drop_common_lines": (lambda spark, d: line_dedup.drop_common_lines(d), {"n_lines", "n_dropped"}),
+    "drop_common_lines, joined": (lambda spark, d: line_dedup.drop_common_lines(d, broadcast_bytes=-1), {"n_lines", "n_dropped"}),
+    "resample": (lambda spark, d: quality_resampling.resample(d, spark.createDataFrame([(1, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int"), k=99), {"log_weight", "key"}),
+    "find_contamination": (lambda spark, d: decontamination.find_contamination(d, spark.createDataFrame([(1, "x y")], BENCH)), {"n_words", "hit", "items"}),
+    "decontaminate": (lambda spark, d: decontamination.decontaminate(d, spark.createDataFrame([(1, "zz zz")], BENCH)), set()),
+    "keep_one": (lambda spark, d: jaccard_join.keep_one(d), set()),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_clashing_names_nulls_and_repeats(spark, name):
+    run, replaced = WHOLE[name]
+    given = clashing(docs(spark, ODD))
+    out = run(spark, given)
+    own = [c for c in CLASHES if c not in replaced]
+    found = [r.asDict() for r in out.select("doc_id", "text", *own).collect()]
+    assert all(r[c] == f"own {c}" for r in found for c in own)
+    ids = [r["doc_id"] for r in found]
+    if name == "mix":  # white and null texts have no words, but share a source that has
+        assert set(ids) == {i for i, _ in ODD}
+    elif name == "keep_one":  # of the repeated row one stays
+        assert sorted(ids, key=str) == [1, 2, 3, 4, 5, None]
+    else:
+        assert sorted(ids, key=str) == [1, 2, 3, 4, 5, 5, None]
+    assert run(spark, given.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run", [license_scan.scan_licenses, secret_scan.digest, substring_dedup.digest, source_mixing.digest, line_dedup.digest, lambda d: language_id.identify(d, MODEL)])
+def test_digests_ignore_other_columns(spark, run):
+    assert sorted(map(tuple, run(clashing(docs(spark, ODD))).collect()), key=str) == sorted(map(tuple, run(docs(spark, ODD)).collect()), key=str)
+
+
+MODEL = language_id.Model(["aa", "bb"], [b" ", b"x", b"y", b"w"], np.array([[0.2, 0.2], [0.5, 0.1], [0.2, 0.2], [0.1, 0.5], [0, 0]], dtype=np.float32))
+
+
+def test_keep_one_judges_rows(spark):
+    text, near, other = (" ".join(f"{x}{k}" for k in range(60)) for x in ("a", "a", "b"))
+    near = near.replace("a59", "edit")
+    rows = [(1, text), (2, near), (2, other), (3, other + " x"), (4, text), (4, text), (5, "own words"), (5, "own words"), (6, None), (6, None)]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, text), (2, other), (5, "own words"), (6, None), (6, None)], key=str)
+
+
+def alike(n):
+    """A word of a and b, and its complement, which hashes that are polynomials modulo 2 ** 64 can't tell apart if n is 1024 or more."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 256, 512, 1024, 2048, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    one, two = alike(n)
+    h = Words(Texts(pa.array([one, two])), NOT_SPACE).hashes()
+    assert len(one) == n and h[0] != h[1]
+    if n == 2048:
+        tail = " " + " ".join(f"t{k}" for k in range(12))
+        assert {i: x[2] for i, x in table(substring_dedup.digest(docs(spark, [(1, one + tail), (2, two + tail), (3, one + tail)]))).items()} == {1: 0, 2: 0, 3: 13}
+        assert {i: x[2] for i, x in table(jaccard_join.similar_components(docs(spark, [(1, one), (2, two), (3, one)]))).items()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_language_scores_whole_words_by_plain_recursion():
+    vocabulary = language_id.read_vocabulary(language_id.VOCABULARY)
+    pieces, rng = language_id.Pieces(vocabulary), np.random.default_rng(6)
+    p = rng.random((len(vocabulary) + 1, 2))
+    p[-1] = 0
+    p /= p.sum(axis=0)
+    at = {x: i for i, x in enumerate(vocabulary)}
+    words = [b" " + bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (1, 5, 40, 100, 700)] + [" 日本語のテキストには空白がない".encode() * 9, b" internationalization"]
+
+    def plain(w, k):
+        scaled, logs = [1.0], [0.0]  # values over e ** logs
+        for t in range(1, len(w) + 1):
+            sums = [(scaled[t - m] * p[at[w[t - m : t]], k], logs[t - m]) for m in range(1, min(t, pieces.longest) + 1) if w[t - m : t] in at]
+            top = max(x for _, x in sums)
+            value = sum(x * np.exp(e - top) for x, e in sums)
+            scaled.append(1.0)
+            logs.append(top + np.log(value))
+        return logs[-1]
+
+    assert np.allclose(language_id.word_scores(words, pieces, p), [[plain(w, k) for k in range(2)] for w in words], rtol=1e-9)
+
+
+def test_language_prediction_equals_plain_sums(spark):
+    rows = [(1, "xx y xw"), (2, "ww w"), (3, "w x"), (4, "xxxxxxxx")]
+    p = {w: MODEL.p[i].astype(float) for i, w in enumerate(MODEL.pieces)}
+    got = table(language_id.identify(docs(spark, rows), MODEL))
+    for i, t in rows:
+        logs = sum(np.log(np.prod([p[b" "], *(p[c.encode()] for c in w)], axis=0)) for w in t.split())
+        best = int(np.argmax(logs))
+        assert got[i][1] == MODEL.languages[best] and np.isclose(got[i][2], 1 / np.exp(logs - logs[best]).sum(), rtol=1e-4)
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_license_base_columns_equal_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in license_scan.query(spark, SF).collect()}
+    for doc_id, text in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        found = [(k, label) for phrase, label in license_scan.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        at = [k for k, _ in found]
+        r = got[doc_id]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(found), min(at, default=None), max(at, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in found})) and {x for _, x in found} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+def test_secret_base_columns_equal_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in secret_scan.query(spark, SF).collect()}
+    kinds = [("assign", r"""(?ia:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
+    some = 0
+    for doc_id, text in rows:
+        found = [(m.start(), n, kind, m.end()) for n, (kind, pattern, group, least) in enumerate(kinds) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+        spans = [f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found)]
+        r = got[doc_id]
+        assert r["base_sha256"] == sha(",".join(spans)) and set(spans) <= set(r["spans"].split(","))
+        assert [r[f"n_{k}"] for k, *_ in kinds] == [sum(x[2] == k for x in found) for k, *_ in kinds]
+        some += len(found)
+    assert some
+
+
+def test_mix_targets_equal_resharing_step_by_step(spark):
+    rng = np.random.default_rng(8)
+    for _ in range(4):
+        sizes = {f"s{k}": int(x) for k, x in enumerate(rng.integers(1, 400, 7) ** 2)} | {None: int(rng.integers(1, 50))}
+        order = sorted(sizes, key=lambda x: (x is None, x))
+        weight = {x: (1, 2, 3)[k % 3] for k, x in enumerate(order)}
+        target, fixed = {}, set()
+        while True:  # share what is left by weight; who is above the cap stops there
+            left = sum(sizes.values()) - sum(3 * sizes[x] for x in fixed)
+            free = [x for x in order if x not in fixed]
+            target = {x: 3.0 * sizes[x] if x in fixed else left * weight[x] / sum(weight[y] for y in free) for x in order}
+            above = {x for x in free if target[x] > 3 * sizes[x]}
+            if not above:
+                break
+            fixed |= above
+        got = source_mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+        assert all(np.isclose(r["target"], target[r["source"]]) for r in got) and len(got) == len(order)
+
+
+def test_decontamination_of_odd_rows(spark):
+    item = "one two three four five six seven eight nine"
+    bench = spark.createDataFrame([(1, item), (1, item), (1, "ten eleven"), (2, ""), (None, "x")] , BENCH)
+    long = "zz " * 200_000 + item
+    rows = [(1, long), (2, None), (3, ""), (4, item), (4, item), (None, "TEN, eleven")]
+    got = sorted(((r["doc_id"], r["n_hit"], r["n_items"]) for r in decontamination.digest(clashing(docs(spark, rows)), bench).collect()), key=str)
+    assert got == sorted([(1, 9, 1), (2, 0, 0), (3, 0, 0), (4, 9, 1), (4, 9, 1), (None, 2, 1)], key=str)
+    blocks = decontamination._blocks_of(spark.createDataFrame([(str(i), "word " * 20) for i in range(50)], "item string, text string"), 400)
+    assert sum(b.count() for b in blocks) == 50 and max(b.count() for b in blocks) <= 4
+    assert decontamination.digest(docs(spark, ODD).limit(0), bench).count() == 0
+
+
+def test_top_k_of_repeated_ids_and_other_columns(spark):
+    rows = [(0, [1.0, None], "a"), (0, [1.0, 2.0], "b"), (1, [1.0, 1.0], "c"), (2, [float("inf"), 1.0], "d"), (3, [1.0, 1.0], "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id string")
+    got = sorted(map(tuple, topk_search.top_k(df, df.where("vec_id = 0")).collect()))
+    assert got == [(0, 1, 1, 3 * 256 * 256), (0, 2, 3, 3 * 256 * 256)]
+
+
+def test_components(spark):
+    from keystrata.llm.graph import components
+
+    rng = np.random.default_rng(0)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200 + i) for i in range(1, 20)] + [(5, 5)]
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: c for x, c in least.items() if any(a != b and x in (a, b) for a, b in edges)}
