@@ -378,8 +378,8 @@ def _classes(docs: DataFrame, size: int, percent: int, n_ranges: int | None) ->
     n_ranges, seed = n_ranges or n_ranges_for(docs), 0
     while True:
         sent = map_arrow(docs, _scan(size, n_ranges, seed), _SENT)
-        counted = sent.groupBy("at").applyInArrow(_counted, _SENT)
-        first = written(counted.groupBy("buffer").applyInArrow(_prefixes(percent), _FOUND), "prefixes")
+        counted = sent.repartition(n_ranges, "at").groupBy("at").applyInArrow(_counted, _SENT)
+        first = written(counted.repartition(n_ranges, "buffer").groupBy("buffer").applyInArrow(_prefixes(percent), _FOUND), "prefixes")
         known = first.where("is_doc").select("doc_id", "mark", "n", "sig", "sig2", *PARITY)
         nodes = written(known.where("sig is not null").groupBy("sig", "sig2").agg(F.min("doc_id").alias("least"), *[F.min(p).alias(p) for p in PARITY]), "nodes")
         if nodes.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").isEmpty():

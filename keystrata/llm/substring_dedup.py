@@ -123,7 +123,8 @@ def repeated_windows(docs: DataFrame, size: int = 13, n_ranges: int | None = Non
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_ranges = n_ranges or n_ranges_for(texts)
-    return map_arrow(texts, _window_blobs(size, n_ranges), _BLOB).groupBy("range").applyInArrow(_repeats, _COVER)
+    blobs = map_arrow(texts, _window_blobs(size, n_ranges), _BLOB).repartition(n_ranges, "range")  # a task reads a few ranges, however many there are
+    return blobs.groupBy("range").applyInArrow(_repeats, _COVER)
 
 
 def _squeezed(batches):
