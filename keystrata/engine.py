@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 from pyspark.sql.utils import AnalysisException
 
-from keystrata.errors import ConflictError, SqlError
+from keystrata.errors import ConflictError, SqlError, TransactionError
 from keystrata.functions.keys import payload_bytes
 from keystrata.operators import log
-from keystrata.plans.access import AccessPath, access_path
-from keystrata.sources.store import DELETED, SEQ, Manifest, Store, TableState, with_clock
+from keystrata.plans.access import FULL, POINT, AccessPath, access_path
+from keystrata.sources.store import DELETED, FILE_BYTES, SEQ, Manifest, Store, TableState
 from keystrata.sql import binder
 from keystrata.sql.parser import Comparison, CreateTable, Delete, Insert, Select, parse
 from keystrata.txn import SNAPSHOT, Transaction
@@ -55,13 +55,18 @@ class Result:
 
 
 class Engine:
-    """``layout`` sorted keeps each table as one sorted base and compacts on every write; log appends runs and compacts at
-    ``compact_at`` of them."""
+    """``layout`` sorted keeps each table as one sorted run, merged at every write; log appends runs to tiers, and a tier of ``compact_at``
+    runs becomes one run of the next, so that a row is rewritten once a tier.
 
-    def __init__(self, spark: SparkSession, root: str, layout: str = LOG, compact_at: int = 4, max_row_bytes: int | None = 64):
+    Several engines, also of several processes, may work on one root. Transactions hold leases there; one that is older than ``lease_s`` counts as
+    dead: its versions may go, and it can't read or commit any more. Compacted runs have files of about ``file_bytes``.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, layout: str = LOG, compact_at: int = 4, max_row_bytes: int | None = 64, lease_s: float = 3600, file_bytes: int = FILE_BYTES):
         if layout not in (SORTED, LOG):
             raise ValueError(f"unknown layout {layout}")
-        self.spark, self.layout, self.compact_at, self.max_row_bytes = spark, layout, compact_at, max_row_bytes
+        self.spark, self.layout, self.compact_at, self.max_row_bytes = spark, layout, max(2, compact_at), max_row_bytes
+        self.lease_s, self.file_bytes = lease_s, file_bytes
         self.store = Store(spark, root)
         self.lock = threading.RLock()
         self.active: dict[int, Transaction] = {}
@@ -118,19 +123,22 @@ class Engine:
     def changes(self, name: str, manifest: Manifest | None = None) -> DataFrame:
         """The table's whole change log."""
         t = self.table(name, manifest)
-        return self.store.read(t, [*t.base, *t.delta])
+        return self.store.read(t, t.runs)
 
     def view(self, name: str, as_of: int | None = None, where: tuple[Comparison, ...] = (), manifest: Manifest | None = None) -> DataFrame:
-        """The rows now, or at clock ``as_of``. Without deltas the base is the view: no window, all filters pushed."""
+        """The rows now, or at clock ``as_of``. One clean run is the view: no window, all filters pushed."""
         self.counters["reads"] += 1
         t = self.table(name, manifest)
         key = t.schema.key
+        if as_of is not None and not t.whole_at(as_of):
+            raise TransactionError(f"versions of table {name} at clock {as_of} were collected")
         condition = binder.condition(where)
-        if as_of is None and not t.delta:
-            rows = self.store.read(t, t.base)
+        path = access_path(where, t.schema)
+        low, high = (path.key, path.key) if path.kind == POINT else (path.low, path.high) if path.kind != FULL else (None, None)
+        rows = self.store.read(t, t.runs, low, high)
+        if as_of is None and t.clean:
             rows = rows.where(condition) if condition is not None else rows
         else:
-            rows = self.store.read(t, [*t.base, *t.delta])
             on_key = binder.condition(tuple(c for c in where if c.column == key))
             rows = rows.where(on_key) if on_key is not None else rows
             rows = log.live(rows, key, SEQ, DELETED) if as_of is None else log.as_of(rows, key, SEQ, as_of, DELETED)
@@ -140,7 +148,6 @@ class Engine:
     def select(self, name: str, columns: tuple[str, ...] | None = None, where: tuple[Comparison, ...] = (), as_of: int | None = None) -> DataFrame:
         now = self.manifest()
         schema = self.table(name, now).schema
-        access_path(where, schema)
         for c in columns or ():
             schema.column(c)
         rows = self.view(name, as_of, where, now)
@@ -170,17 +177,28 @@ class Engine:
         return len(rows)
 
     def upsert(self, name: str, rows: DataFrame, unique: bool = False) -> None:
-        """Upsert a DataFrame with the table's columns, types (any integers for INTEGER) and unique keys.
+        """Upsert a DataFrame with the table's columns, types (any integers for INTEGER) and unique keys, as ``upsert_all`` does."""
+        self.upsert_all({name: rows}, {name} if unique else set())
+
+    def upsert_all(self, frames: dict[str, DataFrame], unique: set[str] = frozenset()) -> int:
+        """Upsert DataFrames into their tables in one commit; its clock.
 
-        Nulls, key range, row size and repeated keys are checked in one aggregation, not collected. ``unique`` says that the keys
-        are known to be unique, which spares the grouping by key.
+        Each frame is evaluated once: it is written, what was written is checked (nulls, key range, row size and repeated keys, in one aggregation), and
+        only then published. ``unique`` names tables whose frames' keys are known to be unique, which spares the grouping by key.
         """
+        ready = {}
+        for name, rows in frames.items():
+            schema = self.table(name).schema
+            for c in schema.columns:
+                found = rows.schema[c.name].dataType
+                if not isinstance(found, IntegralType if c.type == "INTEGER" else StringType):
+                    raise SqlError(f"column {c.name} is {c.type}, the frame has {found.simpleString()}")
+            rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.struct()])
+            ready[name] = rows.withColumn(DELETED, F.lit(False))
+        return self.commit(ready, check=lambda name, rows: self._check_rows(name, rows, name in unique))
+
+    def _check_rows(self, name: str, rows: DataFrame, unique: bool) -> None:
         schema = self.table(name).schema
-        for c in schema.columns:
-            found = rows.schema[c.name].dataType
-            if not isinstance(found, IntegralType if c.type == "INTEGER" else StringType):
-                raise SqlError(f"column {c.name} is {c.type}, the frame has {found.simpleString()}")
-        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.struct()])
         bad = F.lit(False)
         for c in schema.names:
             bad |= F.col(c).isNull()
@@ -192,17 +210,20 @@ class Engine:
         if any(found):
             nulls, out, large, twice = (x or 0 for x in found)
             raise SqlError(f"{nulls} rows with nulls, {out} keys out of range, {large} rows over {schema.max_row_bytes} bytes, {twice} keys more than once")
-        self.commit({name: rows.withColumn(DELETED, F.lit(False))})
 
     def delete(self, name: str, where: tuple[Comparison, ...] = ()) -> int:
-        """Tombstones for all matching rows; their number."""
-        schema = self.table(name).schema
-        access_path(where, schema)
-        hit = self.view(name, where=where)
-        n = hit.count()
-        if n:
-            self.commit({name: hit.withColumn(DELETED, F.lit(True))})
-        return n
+        """Tombstones for all matching rows; their number. What matches is judged on the very version that the commit follows."""
+        access_path(where, self.table(name).schema)
+        deleted = {"n": 0}
+
+        def hit(now: Manifest) -> dict[str, DataFrame]:
+            return {name: self.view(name, where=where, manifest=now).withColumn(DELETED, F.lit(True))}
+
+        def check(_, rows: DataFrame) -> None:
+            deleted["n"] = rows.count()
+
+        self.commit(hit, check=check, empty=False)
+        return deleted["n"]
 
     def _append(self, changes: dict[str, list[tuple[tuple, bool]]], validate=None) -> int:
         frames = {}
@@ -210,54 +231,102 @@ class Engine:
             schema = self.table(name).schema
             blank = lambda key, s=schema: tuple(key if c.name == s.key else 0 if c.type == "INTEGER" else "" for c in s.columns)
             data = [(*(r if not gone else blank(r[0])), gone) for r, gone in rows]
-            frames[name] = self.spark.createDataFrame(data, schema.struct().add(DELETED, "boolean", False))
+            frames[name] = self.spark.createDataFrame(data, schema.struct().add(DELETED, "boolean", False)).coalesce(1)
         return self.commit(frames, validate)
 
-    def commit(self, frames: dict[str, DataFrame], validate=None) -> int:
-        """Write one run for each table and publish them together; the commit's clock. ``validate(manifest)`` may refuse."""
+    def commit(self, frames, validate=None, check=None, empty: bool = True) -> int:
+        """Write one run for each table and publish them together; the commit's clock.
+
+        ``frames`` is a DataFrame for each table, or a function of the manifest that the commit follows, asked again if another writer was first.
+        ``validate(manifest)`` and ``check(table, written rows)`` may refuse. Without ``empty`` a commit of no rows isn't published.
+        """
         with self.lock:
+            written: dict[str, str] = {}
             while True:
                 now = self.manifest()
                 if validate:
                     validate(now)
                 after = deepcopy(now)
                 after.clock, after.version = now.clock + 1, now.version + 1
-                for name, rows in frames.items():
-                    t = self.table(name, after)
-                    stamped = rows.withColumn(SEQ, F.lit(after.clock).cast("long")).select(*[f.name for f in t.log_struct()])
-                    t.delta.append(self.store.write_run(stamped, t.schema))
+                made, total = [], 0
                 try:
-                    self.store.publish(after)
-                    break
+                    for name, rows in (frames(now) if callable(frames) else frames).items():
+                        t = self.table(name, after)
+                        if name in written and not callable(frames):  # a frame is evaluated once; its run only gets another clock
+                            rows = self.spark.read.schema(t.log_struct()).parquet(written[name])
+                        stamped = rows.withColumn(SEQ, F.lit(after.clock).cast("long")).select(*[f.name for f in t.log_struct()])
+                        written[name] = self.store.write_run(stamped, t.schema)
+                        made.append(written[name])
+                        if check:
+                            check(name, self.spark.read.schema(t.log_struct()).parquet(written[name]))
+                        run = self.store.run(t, written[name])
+                        total += run.rows
+                        t.tiers = t.tiers or [[]]
+                        t.tiers[0].append(run)
+                    if total or empty:
+                        self.store.publish(after)
+                        break
                 except ConflictError:
-                    continue
-            self.counters["writes"] += len(frames)
+                    continue  # runs that nothing names go with the next vacuum
+                except Exception:
+                    for path in made:
+                        self.store.remove(path)
+                    raise
+                for path in made:
+                    self.store.remove(path)
+                return now.clock
+            self.counters["writes"] += len(made)
             self.counters["commits"] += 1
-            for name in frames:
-                if self.layout == SORTED or len(after.tables[name].delta) >= self.compact_at:
-                    try:
+            for name in written:
+                try:
+                    if self.layout == SORTED:
                         self.compact(name)
-                    except ConflictError:  # another writer was first; the commit itself stands, and a later one compacts
-                        pass
+                    else:
+                        self._merge_tiers(name)
+                except ConflictError:  # another writer was first; the commit itself stands, and a later one compacts
+                    pass
             return after.clock
 
-    def compact(self, name: str, n_files: int | None = None) -> None:
-        """Merge all runs into a new base. Versions that an active transaction can still read stay, and so do their tombstones."""
+    def _merge_tiers(self, name: str) -> None:
+        """Size-tiered compaction: while a tier has ``compact_at`` runs, they become one of the next."""
+        while True:
+            full = [k for k, tier in enumerate(self.table(name).tiers) if len(tier) >= self.compact_at]
+            if not full:
+                return
+            self.compact(name, tier=full[0])
+
+    def compact(self, name: str, n_files: int | None = None, tier: int | None = None) -> None:
+        """Merge the runs of a tier into one of the next, or all runs into one.
+
+        Versions that a transaction of any process can still read stay, and so do their tombstones; others go if no deeper
+        tier has runs. What is bottommost is dealt by key range.
+        """
         with self.lock:
             now = self.manifest()
             t = self.table(name, now)
-            if not t.delta:
+            last = len(t.tiers) - 1
+            taken = t.runs if tier is None else t.tiers[tier]
+            if not taken or (tier is None and t.clean):
                 return
-            rows = self.store.read(t, [*t.base, *t.delta])
-            starts = sorted({x.start_ts for x in self.active.values()})
+            starts = self.store.leased(self.lease_s)
+            rows, bottommost = self.store.read(t, taken), tier is None or not any(t.tiers[tier + 1 :])
+            clean = bottommost and not starts
             if starts:
-                if len(t.base) + len(t.delta) < 2:
+                if len(taken) < 2:
                     return
-                keep = log.newest_for(rows, t.schema.key, SEQ, starts)
-                t.base, t.delta = [], [self.store.write_run(keep, t.schema, n_files)]
+                rows = log.newest_for(rows, t.schema.key, SEQ, starts)
             else:
-                merged = log.compact(rows, t.schema.key, SEQ, bottommost=True, deleted=DELETED)
-                t.base, t.delta = [self.store.write_run(merged, t.schema, n_files)], []
+                rows = log.compact(rows, t.schema.key, SEQ, bottommost=bottommost, deleted=DELETED)
+            files = n_files or max(1, -(-sum(r.bytes for r in taken) // self.file_bytes))
+            path = self.store.write_run(rows, t.schema, files if bottommost or files > 1 else None, sum(r.rows for r in taken))
+            run = self.store.run(t, path, clean, bottommost or files > 1)
+            if tier is None:
+                t.tiers = [*([] for _ in range(last)), [run]]
+            else:
+                t.tiers = [*t.tiers, []] if tier == last else t.tiers
+                t.tiers[tier] = []
+                t.tiers[tier + 1].append(run)
+            t.floor, t.kept = now.clock, starts
             now.version += 1
             self.store.publish(now)
             self.counters["compactions"] += 1
@@ -270,16 +339,30 @@ class Engine:
     # -- transactions
 
     def begin(self, level: str = SNAPSHOT) -> Transaction:
+        """The lease is there before the clock counts: had a compaction meanwhile dropped what it shows, it is taken anew."""
         with self.lock:
-            txn = Transaction(self, level, self.manifest().clock)
+            while True:
+                now = self.manifest()
+                txn = Transaction(self, level, now.clock)
+                self.store.lease(txn.lease, txn.start_ts)
+                if all(t.whole_at(txn.start_ts) for t in self.manifest().tables.values()):
+                    break
+                self.store.release(txn.lease, txn.start_ts)
             self.active[txn.id] = txn
             return txn
 
+    def end(self, txn: Transaction) -> None:
+        if self.active.pop(txn.id, None):
+            self.store.release(txn.lease, txn.start_ts)
+
     def stats(self) -> dict:
         """Counters, and facts of the manifest."""
         now = self.manifest()
-        tables = {n: {"base_runs": len(t.base), "delta_runs": len(t.delta), "bytes": self.store.bytes_of([*t.base, *t.delta])} for n, t in now.tables.items()}
+        tables = {
+            n: {"base_runs": int(t.clean and bool(t.runs)), "delta_runs": 0 if t.clean else len(t.runs), "tiers": [len(x) for x in t.tiers], "rows": sum(r.rows for r in t.runs), "bytes": sum(r.bytes for r in t.runs)}
+            for n, t in now.tables.items()
+        }
         return self.counters | {"version": now.version, "clock": now.clock, "active": len(self.active), "tables": tables}
 
 
-__all__ = ["LOG", "SORTED", "Engine", "Result", "with_clock"]
+__all__ = ["LOG", "SORTED", "Engine", "Result"]
