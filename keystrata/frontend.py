@@ -12,20 +12,29 @@ from keystrata.errors import SqlError
 from keystrata.sql.parser import Select, parse
 
 
-def to_json(result: Result) -> str:
-    rows = [list(r) for r in result.rows()]
-    if result.frame is not None:
-        result.affected = len(rows)
-    return json.dumps({"columns": result.columns, "rows": rows, "rows_affected": result.rows_affected, "message": result.message}, ensure_ascii=False)
+#: Rows that a front end fetches; what it leaves out is counted and said.
+ROW_LIMIT = 10_000
 
 
-def to_text(result: Result) -> str:
-    lines = []
-    if result.frame is not None:
-        rows = result.rows()
+def _fetched(result: Result, limit: int) -> tuple[list[tuple], bool]:
+    if result.frame is None:
+        return [], False
+    rows = [tuple(r) for r in result.frame.take(limit + 1)]
+    if len(rows) <= limit:
         result.affected = len(rows)
-        lines = [" | ".join(result.columns), *(" | ".join(map(str, r)) for r in rows)]
-    return "\n".join([*lines, result.message])
+    return rows[:limit], len(rows) > limit
+
+
+def to_json(result: Result, limit: int = ROW_LIMIT) -> str:
+    rows, more = _fetched(result, limit)
+    told = {"columns": result.columns, "rows": rows, "rows_affected": result.rows_affected, "message": result.message}
+    return json.dumps(told | ({"truncated": True} if more else {}), ensure_ascii=False)
+
+
+def to_text(result: Result, limit: int = ROW_LIMIT) -> str:
+    rows, more = _fetched(result, limit)
+    lines = [] if result.frame is None else [" | ".join(result.columns), *(" | ".join(map(str, r)) for r in rows)]
+    return "\n".join([*lines, *(["..."] if more else []), result.message])
 
 
 def run_seed(engine: Engine, text: str) -> int:

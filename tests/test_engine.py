@@ -27,18 +27,19 @@ def rows(engine, sql):
 
 
 def test_round_trip(engine):
-    assert engine.execute("CREATE TABLE users (id INTEGER, name TEXT, age INTEGER)").message == "CREATE TABLE"
-    engine.insert("users", [(1, "alice", 30), (2, "bob", 25), (3, "carol", 40)])
-    assert rows(engine, "SELECT * FROM users WHERE age >= 30") == [(1, "alice", 30), (3, "carol", 40)]
-    assert engine.execute("INSERT INTO users VALUES (1, 'again', 1)").message == "INSERT 1"
-    assert rows(engine, "SELECT name, id, name FROM users WHERE id = 1") == [("again", 1, "again")]
-    assert rows(engine, "SELECT id FROM users WHERE age >= 30") == [(3,)]  # the older version of 1 doesn't show
-    assert engine.execute("DELETE FROM users WHERE age >= 25").message == "DELETE 2"
-    assert rows(engine, "SELECT * FROM users") == [(1, "again", 1)]
-    assert engine.execute("SELECT * FROM users WHERE id = 281474976710657").rows() == []
-    assert engine.get("users", 1) == (1, "again", 1) and engine.get("users", 2) is None
-    assert engine.execute("DELETE FROM users").rows_affected == 1
-    for bad in ("SELECT * FROM nope", "CREATE TABLE users (id INTEGER)", "INSERT INTO users VALUES (1)", "SELECT bogus FROM users", "SELECT * FROM users WHERE id = 'x'"):
+    """Stale versions stay hidden behind later upserts, columns may repeat, and keys beyond the range match nothing."""
+    assert engine.execute("CREATE TABLE parts (no INTEGER, bin TEXT, stock INTEGER)").message == "CREATE TABLE"
+    engine.insert("parts", [(40, "c9", 7), (7, "a1", 90), (281474976710655, "z", 12), (7, "a2", 91)])
+    assert rows(engine, "SELECT * FROM parts WHERE stock >= 12") == [(7, "a2", 91), (281474976710655, "z", 12)]
+    assert engine.execute("INSERT INTO parts VALUES (7, 'moved', 3)").message == "INSERT 1"
+    assert rows(engine, "SELECT bin, no, bin FROM parts WHERE no = 7") == [("moved", 7, "moved")]
+    assert rows(engine, "SELECT no FROM parts WHERE stock >= 91") == []  # only a hidden version of 7 had as many
+    assert engine.execute("DELETE FROM parts WHERE bin >= 'm'").message == "DELETE 2"
+    assert rows(engine, "SELECT * FROM parts") == [(40, "c9", 7)]
+    assert engine.execute("SELECT * FROM parts WHERE no = 281474976710696").rows() == []  # 2 ** 48 + 40
+    assert engine.get("parts", 40) == (40, "c9", 7) and engine.get("parts", 7) is None
+    assert engine.execute("DELETE FROM parts").rows_affected == 1
+    for bad in ("SELECT * FROM nope", "CREATE TABLE parts (no INTEGER)", "INSERT INTO parts VALUES (1)", "SELECT bogus FROM parts", "SELECT * FROM parts WHERE no = 'x'"):
         with pytest.raises(SqlError):
             engine.execute(bad)
 
@@ -236,3 +237,192 @@ def test_a_killed_writer_loses_only_what_it_did_not_publish(spark, tmp_path):
     engine = Engine(spark, at)
     assert sorted(map(tuple, engine.view("t").collect())) == [(i, "kept") for i in range(50)]
     assert len(engine.vacuum()) == 1 and engine.view("t").count() == 50
+
+
+def between(engine, method, act):
+    """Let ``act`` happen once, right before the store's next call of ``method``."""
+    real, done = getattr(engine.store, method), []
+
+    def wrapped(*args, **kwargs):
+        if not done:
+            done.append(1)
+            act()
+        return real(*args, **kwargs)
+
+    setattr(engine.store, method, wrapped)
+
+
+def pair(spark, tmp_path, **options):
+    """Two engines on one root, as of two processes, and a table."""
+    a, b = (Engine(spark, str(tmp_path / "db"), **options) for _ in range(2))
+    start(a)
+    return a, b
+
+
+def test_delete_spares_rows_that_another_writer_has_changed(spark, tmp_path):
+    a, b = pair(spark, tmp_path)
+    between(a, "publish", lambda: b.insert("t", [(1, "changed")]))
+    assert a.execute("DELETE FROM t WHERE v = 'on'").rows_affected == 1
+    assert rows(b, "SELECT * FROM t") == [(1, "changed")]
+    between(a, "publish", lambda: b.execute("DELETE FROM t"))
+    assert a.execute("DELETE FROM t").rows_affected == 0
+
+
+def test_snapshot_survives_another_engines_compaction(spark, tmp_path):
+    a, b = pair(spark, tmp_path, compact_at=2)
+    old = a.begin()
+    for i in range(3):
+        b.insert("t", [(1, f"new{i}"), (3, "late")])
+    b.compact("t")
+    assert old.get("t", 1) == (1, "on") and old.get("t", 3) is None and b.get("t", 1) == (1, "new2")
+    assert b.changes("t").where("id = 1").count() == 2
+    old.abort()
+    b.compact("t")
+    assert b.changes("t").where("id = 1").count() == 1
+    expired = a.begin()
+    b.lease_s = -1  # as if the lease were too old
+    b.insert("t", [(1, "newer")])
+    b.compact("t")
+    with pytest.raises(TransactionError):
+        expired.get("t", 1)
+
+
+def test_conflict_with_a_tombstone_that_was_compacted_away(spark, tmp_path):
+    for lease_s in (3600, -1):
+        a, b = pair(spark, tmp_path / str(lease_s), lease_s=lease_s)
+        writer = a.begin()
+        writer.put("t", (1, "mine"))
+        b.execute("DELETE FROM t WHERE id = 1")
+        b.compact("t")
+        with pytest.raises(ConflictError):
+            writer.commit()
+        assert b.get("t", 1) is None
+
+
+def test_a_lease_that_comes_too_late_is_taken_anew(spark, tmp_path):
+    a, b = pair(spark, tmp_path)
+
+    def meanwhile():
+        b.insert("t", [(1, "new")])
+        b.compact("t")
+
+    between(a, "lease", meanwhile)
+    assert a.begin().get("t", 1) == (1, "new")
+
+
+@pytest.mark.parametrize("level", [READ_UNCOMMITTED, READ_COMMITTED, SNAPSHOT, SERIALIZABLE])
+def test_isolation_over_two_engines(spark, tmp_path, level):
+    a, b = pair(spark, tmp_path)
+    reader, writer = b.begin(level), a.begin()
+    writer.put("t", (1, "new"))
+    assert reader.get("t", 1) == (1, "on")  # pending writes are seen within a process only
+    writer.commit()
+    b.compact("t")
+    assert reader.get("t", 1) == ((1, "new") if level in (READ_UNCOMMITTED, READ_COMMITTED) else (1, "on"))
+    reader.put("t", (1, "lost"))
+    with pytest.raises(ConflictError):
+        reader.commit()
+
+
+def test_lost_update_over_two_engines(spark, tmp_path):
+    engines, done, lost = pair(spark, tmp_path, compact_at=3), 0, 0
+    engines[0].insert("t", [(9, "0")])
+    for i in range(6):
+        first, second = (e.begin() for e in engines)
+        for t in (first, second):
+            t.put("t", (9, str(int(t.get("t", 9)[1]) + 1)))
+        (first if i % 2 else second).commit()
+        done += 1
+        try:
+            (second if i % 2 else first).commit()
+        except ConflictError:
+            lost += 1
+    assert (done, lost) == (6, 6) and engines[1].get("t", 9) == (9, "6")
+
+
+def test_tiers(spark, tmp_path):
+    """A row is rewritten once a tier, and tombstones go where nothing lies below."""
+    engine, moved, runs = Engine(spark, str(tmp_path / "db"), compact_at=2), [0], []
+    engine.execute("CREATE TABLE t (id INTEGER, v TEXT)")
+    real = engine.store.write_run
+
+    def counted(frame, schema, n_files=None, expected=0):
+        moved[0] += expected
+        return real(frame, schema, n_files, expected)
+
+    engine.store.write_run = counted
+    for i in range(16):
+        engine.insert("t", [(4 * i + k, "x") for k in range(4)])
+        runs.append(len(engine.table("t").runs))
+    assert runs == [bin(i).count("1") for i in range(1, 17)]  # as in a binary counter
+    assert moved[0] == 64 * 4  # every row once in each of four tiers
+    assert [len(x) for x in engine.table("t").tiers] == [0, 0, 0, 0, 1] and engine.table("t").clean
+    engine.delete("t", ())
+    engine.insert("t", [(1, "y")])
+    assert len(engine.table("t").tiers[1]) == 1 and engine.changes("t").where("_deleted").count() == 63  # tombstones stay above older runs
+    assert engine.scan("t").collect() == [(1, "y")]
+    engine.compact("t")
+    assert engine.changes("t").count() == 1 and engine.stats()["tables"]["t"]["tiers"][-1] == 1
+
+
+def test_layout(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"), file_bytes=4000)
+    engine.execute("CREATE TABLE t (id INTEGER, v TEXT)")
+    engine.insert("t", [(1, "x")])
+    assert engine.stats()["tables"]["t"]["bytes"] < 20_000
+    engine.upsert("t", spark.range(4000).select("id", F.lit("x").alias("v")), unique=True)
+    engine.compact("t")
+    all_files, few, one = (len(engine.execute(f"SELECT * FROM t {w}").frame.inputFiles()) for w in ("", "WHERE id >= 1000 AND id < 1100", "WHERE id = 3999"))
+    assert all_files >= 4 and few <= 2 and one == 1
+    assert engine.execute("SELECT * FROM t WHERE id >= 1000 AND id < 1100").rows_affected == 100
+    assert engine.stats()["tables"]["t"]["bytes"] < 200_000
+
+
+def test_manifests_are_hinted_and_expire(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"), compact_at=99)
+    start(engine)
+    for i in range(24):
+        engine.insert("t", [(i, "v")])
+    listed = []
+    real = engine.store._versions
+    engine.store._versions = lambda: listed.append(1) or real()
+    assert engine.manifest().version == 26 and not listed
+    engine.vacuum()
+    assert len(real()) == 20
+    (tmp_path / "db" / "manifest" / "_last").write_text("1")  # a hint to what is gone
+    (tmp_path / "db" / "manifest" / "._last.crc").unlink(missing_ok=True)
+    assert engine.manifest().version == 26
+
+
+def test_upsert_evaluates_its_frame_once(spark, tmp_path):
+    a, b = pair(spark, tmp_path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for x in it:
+            seen.add(x.num_rows)
+            yield x
+
+    frame = spark.range(10, 15).selectExpr("id", "cast(rand() as string) AS v").mapInArrow(count, "id long, v string")
+    between(a, "publish", lambda: b.insert("t", [(30, "first")]))  # so that it has to try again
+    a.upsert("t", frame)
+    assert seen.value == 5 and b.view("t").count() == 8
+    before = len(list((tmp_path / "db" / "data").iterdir()))
+    with pytest.raises(SqlError):
+        a.upsert("t", spark.sql("SELECT -1L AS id, 'x' AS v"))
+    assert len(list((tmp_path / "db" / "data").iterdir())) == before
+
+
+def test_front_ends_fetch_a_stated_number_of_rows(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"))
+    start(engine)
+    told = json.loads(to_json(engine.execute("SELECT * FROM t"), limit=1))
+    assert len(told["rows"]) == 1 and told["truncated"] and told["rows_affected"] == 2
+    assert to_text(engine.execute("SELECT v FROM t"), limit=1) == "v\non\n...\nSELECT 2"
+
+
+def test_shell_program(tmp_path):
+    seed = tmp_path / "seed.sql"
+    seed.write_text("CREATE TABLE t (id INTEGER, v TEXT)\n-- a row\nINSERT INTO t VALUES (1, 'a')\n")
+    done = subprocess.run([sys.executable, "-m", "keystrata", str(tmp_path / "db"), "--seed", str(seed)], input="SELECT * FROM t\nexit\n", timeout=180, capture_output=True, text=True, cwd=Path(__file__).resolve().parents[1])
+    assert done.returncode == 0 and "1 | a" in done.stdout, done.stderr[-2000:]

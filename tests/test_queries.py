@@ -3,6 +3,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql.types import StructType
 
 from keystrata import queries
 from keystrata.operators import cache, log, mvcc, wal
@@ -45,6 +46,33 @@ def test_recovery(spark):
     assert [r["txn"] for r in wal.losers(records).collect()] == [2]
 
 
+def test_physical_undo_against_a_replay(spark):
+    rng, state, records = random.Random(11), {}, []
+    txns = {t: rng.random() < 0.6 for t in range(12)}  # committed or not
+    for lsn in range(80):
+        k, t = rng.randrange(9), rng.randrange(12)
+        new = (rng.random() < 0.2, f"v{lsn}")
+        records.append((lsn, t, "UPDATE", k, *new, *state.get(k, (True, None))))
+        state[k] = new
+    records += [(100 + t, t, "COMMIT", None, None, None, None, None) for t, done in txns.items() if done]
+    for r in sorted((r for r in records if r[2] == "UPDATE" and not txns[r[1]]), reverse=True):
+        state[r[3]] = r[6:8]
+    df = spark.createDataFrame(records, "lsn long, txn long, type string, k long, deleted boolean, value string, old_deleted boolean, old_value string")
+    assert {r["k"]: r["value"] for r in wal.recover_physically(df).collect()} == {k: v for k, (gone, v) in state.items() if not gone}
+
+
+def test_log_file(spark, tmp_path):
+    schema = StructType.fromDDL("txn long, type string")
+    file = wal.LogFile(spark, str(tmp_path / "log"), schema)
+    assert file.flush() == -1 and file.read_from().count() == 0
+    assert [file.append(1, "BEGIN"), file.append(1, "COMMIT")] == [0, 1] and file.flushed_lsn == -1 and file.flush() == 1
+    assert file.append_all(spark.range(7).selectExpr("id AS txn", "'UPDATE' AS type"), ["txn"]) == 8
+    file.append(9, "BEGIN")
+    again = wal.LogFile(spark, str(tmp_path / "log"), schema)
+    assert [r["lsn"] for r in again.read_from(3).collect()] == [3, 4, 5, 6, 7, 8] and [r["txn"] for r in again.read_from(2).collect()] == list(range(7))
+    assert again.next_lsn == 9 and len(again.read_from(5).inputFiles()) < len(again.read_from(0).inputFiles())
+
+
 def test_conflicts_and_spans_against_brute_force(spark):
     rng = random.Random(5)
     commit = {t: t * 3 + 2 for t in range(20) if t % 4}
