@@ -2,7 +2,7 @@
 
 Patterns give the base findings. Beyond them, base64 and hex runs (of either case), and the parts of base64 runs that may be
 a key after a name or path, are decoded and reported only if what comes out is a key by
-its structure: DER whose nested lengths add up exactly, an OpenSSH private key container, or a signed token whose header
+its structure: DER whose nested lengths add up exactly and whose fields are a private key's, an OpenSSH private key container, or a signed token whose header
 is JSON naming an algorithm.
 """
 
@@ -12,6 +12,7 @@ import base64
 import binascii
 import json
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,22 @@ _ANY_HEX = _HEX | byte_set((ord("A"), ord("F")))
 _BASE64 = byte_set((ord("0"), ord("9")), (ord("A"), ord("Z")), (ord("a"), ord("z")), *[(ord(c), ord(c)) for c in "+/-_="])
 #: Newlines in a PEM body may be escaped, as in JSON strings.
 _ESCAPED = re.compile(rb"\\+[nrt]")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]++|\\++[nrt])++)-----END \1-----")
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*+((?:[A-Za-z0-9-]++:[^\r\n]*+\r?\n)*+)((?:[A-Za-z0-9+/=\s]++|\\++[nrt])++)-----END \1-----")
+#: Header of a body that is encrypted as a whole, so that only its length, in cipher blocks, can be confirmed.
+_SEALED, CIPHER_BLOCK = re.compile(rb"^DEK-Info: *[A-Z0-9-]+,[0-9A-Fa-f]+\r?$", re.MULTILINE), 8
 _JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 #: Shorter runs hold no key.
 MIN_BASE64, MIN_DER = 40, 16
+#: Primitive DER values: universal ones up to BMPString, and a public key in a tagged bit string.
+_PRIMITIVE = frozenset(range(0x01, 0x1F)) - {0x08, 0x0B, 0x10, 0x11} | {0x81}
+#: The next line of a base64 run that is wrapped without armour.
+_WRAPPED = re.compile(rb"\r?\n([A-Za-z0-9+/]++={0,2}+)")
 #: Where a key may begin within a base64 run: at its start, or after a byte that may belong to what stands before the key
 #: (a name, a path, the mark of an added line). DER begins with a SEQUENCE, the other kind with its magic.
 _KEY_START = re.compile(rb"(?:(?<=[=/_+-])|\A)(?:M[A-I]|b3BlbnNzaC1rZXktdjEA)")
 _BREAKS = b"/_+-"
+#: A DER key that goes on in further lines begins here; what stands before it must not be base64 of its own.
+_WRAPPED_START = re.compile(rb"(?:(?<==)|\A)M[A-I][A-Za-z0-9+/]{38,}\Z")
 
 
 def decoded(run: bytes) -> bytes | None:
@@ -67,29 +76,56 @@ def _length(data: bytes, at: int) -> tuple[int, int] | None:
     return (value, at + 1 + n) if value >= 0x80 and data[at + 1] else None
 
 
+def der_parts(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, from, to) of the values that fill data[at:end]; None if their lengths don't add up."""
+    out = []
+    while at < end:
+        got = _length(data, at + 1)
+        if got is None or sum(got) > end:
+            return None
+        out.append((data[at], got[1], sum(got)))
+        at = sum(got)
+    return out
+
+
+def _nests(data: bytes, at: int, end: int, depth: int) -> bool:
+    """Whether values fill data[at:end] and constructed ones are filled in turn, with no unknown tag."""
+    parts = der_parts(data, at, end)
+    if parts is None or depth < 0:
+        return False
+    return all(_nests(data, a, b, depth - 1) if tag in (0x30, 0x31) or tag & 0xE0 == 0xA0 else tag in _PRIMITIVE for tag, a, b in parts)
+
+
+def _is_algorithm(data: bytes, part: tuple[int, int, int]) -> bool:
+    inner = der_parts(data, *part[1:]) if part[0] == 0x30 else None
+    return bool(inner) and inner[0][0] == 0x06
+
+
 def is_der_key(data: bytes, most_depth: int = 8) -> bool:
-    """A SEQUENCE that fills the data, whose parts fill it in turn, down to INTEGERs, with one at least and no unknown tag."""
-    seen_integer = False
-
-    def walk(at: int, end: int, depth: int) -> bool:
-        nonlocal seen_integer
-        while at < end:
-            tag = data[at]
-            got = _length(data, at + 1)
-            if got is None or got[1] + got[0] > end:
-                return False
-            size, at = got
-            if tag in (0x30, 0x31) or tag & 0xE0 == 0xA0:
-                if depth >= most_depth or not walk(at, at + size, depth + 1):
-                    return False
-            elif tag in (0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13):
-                seen_integer |= tag == 0x02 and size > 0
-            else:
-                return False
-            at += size
-        return at == end
-
-    return len(data) >= MIN_DER and data[0] == 0x30 and walk(0, len(data), 0) and seen_integer
+    """A SEQUENCE that fills the data, nested lengths that add up all the way down, and the fields of a private key.
+
+    That is: version 0 or 1, an algorithm (not in a bare elliptic curve key), an octet string, and nothing but tagged parts; version 0 and
+    the 8 integers of an RSA key or the 5 of a DSA key, or version 1, 8 integers and a sequence of further primes;
+    or, encrypted, an algorithm and an octet string. Public keys, certificates and signatures are none of these.
+    """
+    if len(data) < MIN_DER or data[0] != 0x30 or not _nests(data, 0, len(data), most_depth):
+        return False
+    outer = der_parts(data, 0, len(data))
+    parts = der_parts(data, *outer[0][1:]) if len(outer) == 1 else None
+    if not parts:
+        return False
+    tags = [t for t, _, _ in parts]
+    if tags == [0x30, 0x04]:
+        return _is_algorithm(data, parts[0])
+    version = data[parts[0][1] : parts[0][2]] if tags[0] == 0x02 else None
+    if version not in (b"\0", b"\1"):
+        return False
+    if set(tags) == {0x02}:
+        return version == b"\0" and len(tags) in (6, 9)
+    if tags[:9] == [0x02] * 9:
+        return version == b"\1" and tags[9:] == [0x30]
+    rest = parts[2:] if len(parts) > 1 and _is_algorithm(data, parts[1]) else parts[1:]
+    return bool(rest) and rest[0][0] == 0x04 and rest[0][1] < rest[0][2] and all(t & 0xC0 == 0x80 for t, _, _ in rest[1:])
 
 
 def is_key(data: bytes) -> bool:
@@ -126,6 +162,29 @@ def base64_keys(run: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def is_pem_key(headers: bytes, body: bytes) -> bool:
+    data = decoded(b"".join(_ESCAPED.sub(b"", body).split()))
+    if data and _SEALED.search(headers):
+        return len(data) >= MIN_DER and len(data) % CIPHER_BLOCK == 0
+    return bool(data) and is_key(data)
+
+
+def wrapped_key(text: bytes, start: int, end: int) -> int | None:
+    """Where a DER key ends that begins with the run text[start:end] and is wrapped over further lines; None if there is none."""
+    got = _length(decoded(text[start : start + 8]) or b"", 1)
+    most = ((sum(got) * 4 + 2) // 3 + 3) // 4 * 4 if got else 0  # characters, padding included
+    lines, held = [text[start:end]], end - start
+    while held < most and (m := _WRAPPED.match(text, end)):
+        if len(m[1]) > len(lines[0]):
+            return None  # only the last line may differ in length, and it's shorter
+        lines.append(m[1])
+        held, end = held + len(m[1]), m.end()
+        if len(m[1]) < len(lines[0]):
+            break
+    data = decoded(b"".join(lines)) if len(lines) > 1 and held <= most else None
+    return end if data and is_key(data) else None
+
+
 def is_signed_token(header: bytes) -> bool:
     raw = decoded(header)
     try:
@@ -160,17 +219,26 @@ def findings(texts: Texts) -> list[list[tuple[int, int, str]]]:
         run = texts.data[a:b].tobytes()
         if len(run) % 2 == 0 and run.startswith(b"30") and is_key(bytes.fromhex(run.decode())):
             out[i].append((a, b, "hexder"))
+    wrapped: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for i, a, b in _long_runs(texts, _BASE64, MIN_BASE64):
-        out[i] += [(a + start, a + end, "der") for start, end in base64_keys(texts.data[a:b].tobytes())]
+        run = texts.data[a:b].tobytes()
+        out[i] += [(a + start, a + end, "der") for start, end in base64_keys(run)]
+        if texts.data[b : b + 1].tobytes() in (b"\r", b"\n") and (m := _WRAPPED_START.search(run)):
+            wrapped[i].append((a + m.start(), b))
     for i in range(len(texts)):
         text, at = texts.bytes_of(i), int(texts.offsets[i])
+        pems = [(at + m.start(), at + m.end()) for m in _PEM.finditer(text) if is_pem_key(m[2], m[3])] if b"PRIVATE KEY-----" in text else []
+        out[i] += [(a, b, "pem") for a, b in pems]
+        reach = 0
+        for a, b in wrapped[i]:  # within armour it's reported already
+            if a >= reach and not any(x <= a < y for x, y in pems) and (end := wrapped_key(text, a - at, b - at)):
+                reach = at + end
+                out[i].append((a, reach, "der"))
         low = text.lower()
         if any(n in low for n in _NAMES):
             out[i] += [(at + m.start(), at + m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
         if b"AKIA" in text:
             out[i] += [(at + m.start(), at + m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
-        if b"PRIVATE KEY-----" in text:
-            out[i] += [(at + m.start(), at + m.end(), "pem") for m in _PEM.finditer(text) if (d := decoded(b"".join(_ESCAPED.sub(b"", m[2]).split()))) and is_key(d)]
         if b"eyJ" in text:
             out[i] += [(at + m.start(), at + m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[1]) and decoded(m[2]) is not None]
     return out

@@ -507,3 +507,63 @@ def test_components(spark):
             least[a] = least[b] = min(least[a], least[b])
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: c for x, c in least.items() if any(a != b and x in (a, b) for a, b in edges)}
+
+
+def test_secrets_are_keys_by_their_fields():
+    length = lambda n: bytes([n]) if n < 128 else b"\x81" + bytes([n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")
+    der = lambda tag, *parts: bytes([tag]) + length(sum(map(len, parts))) + b"".join(parts)
+    num = lambda *x: der(2, bytes(x))
+    big = num(*range(1, 60))
+    ec = der(0x30, der(6, b"\x2a\x86\x48\xce\x3d\x02\x01"), der(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07"))
+    held = der(4, bytes(range(40)))
+    keys = [
+        der(0x30, num(0), *[big] * 8), der(0x30, num(0), *[big] * 5), der(0x30, num(1), *[big] * 8, der(0x30, der(0x30, big, big, big))),
+        der(0x30, num(0), ec, held), der(0x30, num(1), ec, held, der(0xA0, der(0x31)), der(0x81, bytes(30))),
+        der(0x30, num(1), held, der(0xA0, der(6, b"\x2a\x03")), der(0xA1, der(3, bytes(66)))), der(0x30, ec, held),
+    ]
+    assert all(map(secret_scan.is_der_key, keys))
+    others = [der(0x30, big, big), der(0x30, ec, der(3, bytes(66))), der(0x30, num(2), ec, held), der(0x30, num(0), ec), der(0x30, num(0), ec, held, big), der(0x30, num(0), *[big] * 3), der(0x30, num(0), der(0x30, big), held)]
+    assert not any(map(secret_scan.is_der_key, [*others, *(k + b"\0" for k in keys), *(k[:-1] for k in keys)]))
+    for cut in (1, 3, 6, 8):  # a nested length that doesn't add up
+        assert not secret_scan.is_der_key(keys[3][:cut] + bytes([keys[3][cut] ^ 0x55]) + keys[3][cut + 1 :])
+
+
+def test_secrets_wrapped_without_armour_and_with_headers(spark):
+    rng = np.random.default_rng(5)
+    b = bytes([2, 1, 1, 4, 0x82, 2, 88]) + rng.integers(0, 256, 600, dtype=np.uint8).tobytes()
+    key = base64.b64encode(b"\x30\x82" + len(b).to_bytes(2, "big") + b).decode()
+    wrap = lambda s, n, new: new.join(s[k : k + n] for k in range(0, len(s), n))
+    sealed = wrap(base64.b64encode(rng.bytes(640)).decode(), 64, "\n")
+    armour = lambda body: f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    plain = [(f"é k =\n{w}\nnext", "der", w) for w in (wrap(key, n, new) for n in (64, 76) for new in ("\n", "\r\n"))]
+    plain += [(x, "pem", x) for x in (armour(wrap(key, 64, "\n")), armour(headers + sealed))]
+    plain += [(x, None, None) for x in (armour(sealed), armour(headers + sealed[:-5]), wrap(key[:-70], 64, "\n"), wrap(key, 64, "\n\n"), wrap("A" + key, 64, "\n"))]
+    got = secret_scan.scan_secrets(docs(spark, [(i, t) for i, (t, _, _) in enumerate(plain)])).orderBy("doc_id").collect()
+    for r, (text, kind, inside) in zip(got, plain, strict=True):
+        found = [(k, text[int(a) : int(b)]) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
+        assert found == ([(kind, inside)] if kind else []), text[:60]
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_licenses_need_all_their_wording(spark):
+    texts = [MIT, MIT.replace("AUTHORS OR COPYRIGHT HOLDERS", "Foundation"), MIT.replace("merge, ", ""), MIT[:-9], MIT[:400]]
+    got = license_scan.scan_licenses(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == ["mit,mit-full"] * 2 + ["mit"] * 3
+    assert [r["score"] == 1.0 for r in got] == [True, True, False, False, False]
+
+
+@pytest.mark.parametrize("label", [x for x in license_scan.TEMPLATES if x.endswith("-full")])
+def test_whole_licenses_accept_themselves(label):
+    for t in license_scan.TEMPLATES[label]:
+        words = re.sub(r"<<var \d+>>", "some one", re.sub(r"<</?opt>>", " ", t)).split() if label != "gpl-notice-full" else re.sub(r"<<var \d+>>", "x", re.sub(r"<</?opt>>", " ", t)).split()
+        a = license_scan.Automaton(t)
+        assert a.match(lambda k: words[k].encode(), 0, len(words)) == len(words)
+        assert a.match(lambda k: words[k].encode(), 0, len(words) - 1) is None
