@@ -33,7 +33,7 @@ def _cc(*names: str) -> list[str]:
     return versioned + [f"creative commons attribution {n} <<opt>>international<</opt>> <<opt>>public<</opt>> license" for n in names]
 
 
-#: Short notices and opening clauses of public licenses.
+#: Short notices and opening clauses of public licenses; whole ones follow, under labels of their own.
 TEMPLATES = {
     "apache-2.0": ["licensed under the apache license version 2 0 <<opt>>the license you may not use this file except in compliance with the license<</opt>>"],
     "mit": [
@@ -54,6 +54,50 @@ TEMPLATES = {
     "cc-by-nc-nd": _cc("noncommercial noderivatives", "noncommercial noderivs", "noncommercial no derivatives", "noncommercial no derivs", "non commercial no derivs"),
     "copyright": ["copyright <<opt>>c<</opt>> <<var 12>> all rights reserved"],
 }
+#: Whole licenses and notices: all of their wording is mandatory, names of holders aside.
+TEMPLATES |= {
+    "mit-full": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the <<var 12>> be liable for any claim damages or other liability "
+        "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+    ],
+    "isc-full": [
+        "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and <<var 12>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall <<var 12>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ],
+    "bsd-full": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "<<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution "
+        "<<opt>><<opt>>3<</opt>> neither the name of <<var 12>> nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission<</opt>> "
+        "this software is provided by <<var 16>> as is and any express or implied warranties including but not limited to "
+        "the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var 16>> be liable for any "
+        "direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+        "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort "
+        "including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+    ],
+    "apache-2.0-full": [
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license"
+    ],
+    "gpl-notice-full": [
+        "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        f"<<opt>>either<</opt>> version <<var 1>> {_LATER} <<var 4>> is distributed in the hope that it will be useful but without any warranty "
+        "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"
+    ],
+}
 _MARK = re.compile(r"<<opt>>|<</opt>>|<<var (\d+)>>|[^\s<]+")
 
 
