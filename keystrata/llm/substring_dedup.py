@@ -123,7 +123,7 @@ def repeated_windows(docs: DataFrame, size: int = 13, n_ranges: int | None = Non
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_ranges = n_ranges or n_ranges_for(texts)
-    blobs = map_arrow(texts, _window_blobs(size, n_ranges), _BLOB).repartition(n_ranges, "range")  # a task reads a few ranges, however many there are
+    blobs = map_arrow(texts, _window_blobs(size, n_ranges), _BLOB).repartitionById(n_ranges, "range")  # a task reads one range; by hash some would get several
     return blobs.groupBy("range").applyInArrow(_repeats, _COVER)
 
 
