@@ -78,8 +78,8 @@ class Sets:
 _SIG, _SIG2 = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 #: What a scan sends: documents of a buffer, fingerprints of a buffer for a range, and a range's answer to a buffer.
 _DOCUMENTS, _POSTINGS, _ANSWER = 0, 1, 2
-_SENT = "at long, kind int, buffer long, payload binary"
-_SENT_ARROW = pa.schema([("at", pa.int64()), ("kind", pa.int32()), ("buffer", pa.int64()), ("payload", pa.binary())])
+_SENT = "at int, kind int, buffer long, payload binary"
+_SENT_ARROW = pa.schema([("at", pa.int32()), ("kind", pa.int32()), ("buffer", pa.int64()), ("payload", pa.binary())])
 
 
 class _Buffer:
@@ -127,7 +127,7 @@ class _Buffer:
         own = packed(*docs, *nodes)
         k = len(full)
         return pa.RecordBatch.from_arrays([
-            pa.array([*full.tolist(), -1 - self.name % self.n_ranges], pa.int64()), pa.array([_POSTINGS] * k + [_DOCUMENTS], pa.int32()),
+            pa.array([*full.tolist(), -1 - self.name % self.n_ranges], pa.int32()), pa.array([_POSTINGS] * k + [_DOCUMENTS], pa.int32()),
             pa.array([self.name] * (k + 1), pa.int64()), pa.array([*blobs, own], pa.binary()),
         ], schema=_SENT_ARROW)
 
@@ -176,7 +176,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges = np.searchsorted(blob, np.arange(len(names) + 1))
     full = np.flatnonzero(np.diff(edges)).tolist()
     blobs = [packed(np.array([at], dtype=np.int64), deltas(prints[a:b]), nodes[a:b], often[a:b]) for a, b in ((edges[k], edges[k + 1]) for k in full)]
-    yield pa.RecordBatch.from_arrays([pa.array([at] * len(full), pa.int64()), pa.array([_ANSWER] * len(full), pa.int32()), pa.array([names[k] for k in full], pa.int64()), pa.array(blobs, pa.binary())], schema=_SENT_ARROW)
+    yield pa.RecordBatch.from_arrays([pa.array([at] * len(full), pa.int32()), pa.array([_ANSWER] * len(full), pa.int32()), pa.array([names[k] for k in full], pa.int64()), pa.array(blobs, pa.binary())], schema=_SENT_ARROW)
 
 
 _FOUND_FIELDS = [("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("sig2", pa.int64()), *((p, pa.int64()) for p in PARITY), ("token", pa.int64()), ("pos", pa.int32()), ("is_doc", pa.bool_())]
@@ -378,7 +378,7 @@ def _classes(docs: DataFrame, size: int, percent: int, n_ranges: int | None) ->
     n_ranges, seed = n_ranges or n_ranges_for(docs), 0
     while True:
         sent = map_arrow(docs, _scan(size, n_ranges, seed), _SENT)
-        counted = sent.repartition(n_ranges, "at").groupBy("at").applyInArrow(_counted, _SENT)
+        counted = sent.repartitionById(n_ranges, "at").groupBy("at").applyInArrow(_counted, _SENT)  # a task counts one range; by hash some would get several
         first = written(counted.repartition(n_ranges, "buffer").groupBy("buffer").applyInArrow(_prefixes(percent), _FOUND), "prefixes")
         known = first.where("is_doc").select("doc_id", "mark", "n", "sig", "sig2", *PARITY)
         nodes = written(known.where("sig is not null").groupBy("sig", "sig2").agg(F.min("doc_id").alias("least"), *[F.min(p).alias(p) for p in PARITY]), "nodes")
