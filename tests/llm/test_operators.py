@@ -305,6 +305,27 @@ def test_top_k_equals_brute_force(spark):
     assert [r["vec_id"] for r in topk_search.top_k(huge, huge.where("vec_id = 0")).orderBy("rank").collect()] == [1, 2]
 
 
+def test_top_k_over_many_shards_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(loc=c, scale=0.3, size=(150, 6)) for c in rng.normal(scale=4, size=(8, 6))] + [np.full((600, 6), 1.5)])  # a third are equal
+    rows = [(i, [float(c) for c in (v[:4] if i % 7 == 0 else v)]) for i, v in enumerate(x)]  # some are shorter
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    monkeypatch.setattr(topk_search, "ROOTS", 5)
+    met = []
+    plain = topk_search.written
+    monkeypatch.setattr(topk_search, "written", lambda df, name: met.append((name, plain(df, name))) or met[-1][1])
+    monkeypatch.setattr(topk_search, "discard", lambda df: None)
+    got = sorted(map(tuple, topk_search.top_k(df, df.where("vec_id % 50 = 0"), shard=16, block=8).collect()))
+    v = np.zeros((len(rows), 6), dtype=np.int64)
+    for i, e in rows:
+        v[i, : len(e)] = np.floor(256 * np.array(e))
+    want = [(q, r + 1, c, -s) for q in range(0, len(rows), 50) for r, (s, c) in enumerate(sorted((-int(v[q] @ v[c]), c) for c in range(len(rows)) if c != q)[:5])]
+    assert got == sorted(want)
+    made = {name: t.count() for name, t in met}
+    groups = dict(met)["shards"].select("g").distinct().count()
+    assert made["home-cells"] + made["cells"] < groups * made["query-blocks"] * 3 / 4  # the others were never sent; blocks of 8 queries span some clusters
+
+
 def test_pruning_visits_fewer_nodes():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(loc=c, scale=1, size=(500, 4)) for c in (-400, 0, 400)]).astype(np.int64)
