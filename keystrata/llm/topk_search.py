@@ -43,8 +43,8 @@ def _schema(*fields: tuple[str, pa.DataType]) -> tuple[pa.Schema, str]:
 
 
 _L, _I, _D, _B = pa.int64(), pa.int32(), pa.float64(), pa.binary()
-_SHARD_ARROW, _SHARD = _schema(("g", _L), ("width", _I), ("ids", _B), ("vectors", _B), ("nodes", _B), ("centers", _B), ("radii", _B), ("center", _B), ("radius", _D), ("norm", _D))
-_BLOCK_ARROW, _BLOCK = _schema(("block", _L), ("width", _I), ("ids", _B), ("vectors", _B))
+_SHARD_ARROW, _SHARD = _schema(("g", _L), ("width", _I), ("bytes", _I), ("ids", _B), ("vectors", _B), ("nodes", _B), ("centers", _B), ("radii", _B), ("center", _B), ("radius", _D), ("norm", _D))
+_BLOCK_ARROW, _BLOCK = _schema(("block", _L), ("width", _I), ("bytes", _I), ("ids", _B), ("vectors", _B))
 _ROOTS_ARROW, _ROOTS = _schema(("part", _L), ("r_width", _I), ("r_g", _B), ("r_center", _B), ("r_radius", _B), ("r_norm", _B))
 _FIT_ARROW, _FIT = _schema(("width", _I), ("centers", _B))
 _NEAR_ARROW, _NEAR = _schema(("block", _L), ("row", _I), ("score", _D), ("g", _L))
@@ -70,6 +70,17 @@ def _stacked(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([_wide(m, width) for m in parts])
 
 
+def _narrow(m: np.ndarray) -> np.ndarray:
+    """The same integers in the fewest bytes of 2, 4 and 8 that hold them all."""
+    low, high = int(m.min(initial=0)), int(m.max(initial=0))
+    return next(m.astype(t) for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+
+
+def _content(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a stored shard or query block."""
+    return np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["vectors"], dtype=f"i{r['bytes']}").reshape(-1, r["width"]).astype(np.int64)
+
+
 def _runs(batches, size: int, scale: int):
     """(ids, vectors) of consecutive rows (vec_id, embedding), ``size`` at a time, or fewer if they are wide."""
     ids, rows, held = [], [], 0
@@ -124,8 +135,9 @@ def _shards(size: int, scale: int):
         first = TaskContext.get().partitionId() << 32  # a task that runs again gives its groups the same names
         for k, (ids, vectors) in enumerate(_runs(batches, size, scale)):
             t = BallTree(ids, vectors)
-            blobs = [a.tobytes() for a in (t.ids, t.vectors, np.array(t.nodes, dtype=np.int64), t.centers, t.radii, t.centers[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([first + k // CELL_SHARDS]), pa.array([vectors.shape[1]], _I), *(pa.array([b], _B) for b in blobs), pa.array([t.radii[0]]), pa.array([t.norm])], schema=_SHARD_ARROW)
+            own = _narrow(t.vectors)
+            blobs = [a.tobytes() for a in (t.ids, own, np.array(t.nodes, dtype=np.int64), t.centers, t.radii, t.centers[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([first + k // CELL_SHARDS]), pa.array([vectors.shape[1]], _I), pa.array([own.itemsize], _I), *(pa.array([b], _B) for b in blobs), pa.array([t.radii[0]]), pa.array([t.norm])], schema=_SHARD_ARROW)
 
     return run
 
@@ -134,7 +146,8 @@ def _blocks(size: int, scale: int):
     def run(batches):
         first = TaskContext.get().partitionId() << 32
         for k, (ids, vectors) in enumerate(_runs(batches, size, scale)):
-            yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([vectors.shape[1]], _I), pa.array([ids.tobytes()], _B), pa.array([vectors.tobytes()], _B)], schema=_BLOCK_ARROW)
+            own = _narrow(vectors)
+            yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([own.shape[1]], _I), pa.array([own.itemsize], _I), pa.array([ids.tobytes()], _B), pa.array([own.tobytes()], _B)], schema=_BLOCK_ARROW)
 
     return run
 
@@ -170,7 +183,7 @@ class BallTree:
     @classmethod
     def stored(cls, r: dict) -> BallTree:
         t = cls.__new__(cls)
-        t.ids, t.vectors = np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["vectors"], dtype=np.int64).reshape(-1, r["width"])
+        t.ids, t.vectors = _content(r)
         t.nodes = np.frombuffer(r["nodes"], dtype=np.int64).reshape(-1, 3).tolist()
         t.centers, t.radii = np.frombuffer(r["centers"]).reshape(-1, r["width"]), np.frombuffer(r["radii"])
         t.norm = r["norm"]
@@ -251,7 +264,7 @@ def _cell(k: int):
         trees = [BallTree.stored(r) for r in shards.to_pylist()]
         out = []
         for r in blocks.to_pylist():
-            s = Search(*_queries(r), np.frombuffer(r["floor"], dtype=np.int64), k)
+            s = Search(*_content(r), np.frombuffer(r["floor"], dtype=np.int64), k)
             for tree in trees:
                 s.descend(tree)
             out.append(s.hits())
@@ -260,10 +273,6 @@ def _cell(k: int):
     return run
 
 
-def _queries(r: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["vectors"], dtype=np.int64).reshape(-1, r["width"])
-
-
 def _gathered(roots: pa.Table) -> pa.Table:
     """Roots of shards, as one row."""
     rows = roots.to_pylist()
@@ -277,7 +286,7 @@ def _met(batches):
     for batch in batches:
         for r in batch.to_pylist():
             c = np.frombuffer(r["r_center"]).reshape(-1, r["r_width"])
-            q = _queries(r)[1].astype(np.float64)
+            q = _content(r)[1].astype(np.float64)
             width = max(q.shape[1], c.shape[1])
             yield r, _wide(q, width), np.frombuffer(r["r_g"], dtype=np.int64), _wide(c, width), np.frombuffer(r["r_radius"]), np.frombuffer(r["r_norm"])
 
