@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.graph import components
-from keystrata.llm.shared import PIECE_SCHEMA, deltas, discard, filter_slots, folded, map_arrow, n_ranges_for, packed, pieces, unpacked, written
+from keystrata.llm.shared import PIECE_SCHEMA, deltas, discard, filter_slots, folded, map_arrow, n_ranges_for, packed, pieces, released, unpacked, written
 from keystrata.llm.textbytes import NOT_SPACE, Texts, Words, chunks, mix, windows
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles that a scanning task holds before it sends them.
 BUFFER = 1 << 21
+#: Bytes from which on a batch of what a buffer sends is full.
+SENT_BYTES = 1 << 20
 #: Bits of the filter of candidates' doc_ids (2 MB are broadcast), and the parts it is folded in.
 CANDIDATE_BITS, PARTS = 1 << 24, 64
 STAR_ROUNDS = 1
@@ -113,23 +115,46 @@ class _Buffer:
         self.node.append(number[sets.text[keep]].astype(np.uint32))
         self.size += int(keep.sum()) + len(ids)
 
-    def sent(self) -> pa.RecordBatch:
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        """What the buffer holds, range by range in batches of about ``SENT_BYTES``; it is empty afterwards.
+
+        Some 16 MB a column: so nothing is kept longer than needed, and what can be is computed in place.
+        """
         docs = [np.concatenate(x) for x in zip(*self.docs, strict=True)]
         nodes = [np.concatenate(x) for x in zip(*self.nodes, strict=True)]
-        h, node = np.concatenate(self.h), np.concatenate(self.node)
-        where = ((h >> np.uint64(32)) * np.uint64(self.n_ranges)) >> np.uint64(32)
-        key = (where << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+        key = np.concatenate(self.h)
+        self.h.clear()
+        node = np.concatenate(self.node)
+        for held in (self.docs, self.nodes, self.node, self.known):
+            held.clear()
+        where = key >> np.uint64(32)
+        where *= np.uint64(self.n_ranges)
+        where &= ~np.uint64(0xFFFFFFFF)  # the range, in the upper half
+        key &= np.uint64(0xFFFFFFFF)
+        key |= where
+        del where
         order = np.argsort(key, kind="stable")
-        key, node = key[order], node[order]
+        node = node[order]
+        key = key[order]
+        del order
         edges = np.searchsorted(key, np.arange(self.n_ranges + 1, dtype=np.uint64) << np.uint64(32))
-        full = np.flatnonzero(np.diff(edges))
-        blobs = [packed(deltas((key[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), node[a:b]) for a, b in zip(edges[full], edges[full + 1], strict=True)]
-        own = packed(*docs, *nodes)
-        k = len(full)
-        return pa.RecordBatch.from_arrays([
-            pa.array([*full.tolist(), -1 - self.name % self.n_ranges], pa.int32()), pa.array([_POSTINGS] * k + [_DOCUMENTS], pa.int32()),
-            pa.array([self.name] * (k + 1), pa.int64()), pa.array([*blobs, own], pa.binary()),
-        ], schema=_SENT_ARROW)
+        at, blobs, size = [], [], 0
+        for r in np.flatnonzero(np.diff(edges)).tolist():
+            a, b = edges[r], edges[r + 1]
+            at.append(r)
+            blobs.append(packed(deltas((key[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), node[a:b]))
+            size += len(blobs[-1])
+            if size >= SENT_BYTES:
+                yield self._batch(at, _POSTINGS, blobs)
+                at, blobs, size = [], [], 0
+        del key, node
+        if at:
+            yield self._batch(at, _POSTINGS, blobs)
+        yield self._batch([-1 - self.name % self.n_ranges], _DOCUMENTS, [packed(*docs, *nodes)])
+
+    def _batch(self, at: list[int], kind: int, blobs: list[bytes]) -> pa.RecordBatch:
+        k = len(at)
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([kind] * k, pa.int32()), pa.array([self.name] * k, pa.int64()), pa.array(blobs, pa.binary())], schema=_SENT_ARROW)
 
 
 def _scan(size: int, n_ranges: int, seed: int):
@@ -139,10 +164,10 @@ def _scan(size: int, n_ranges: int, seed: int):
         for chunk in chunks(batches):
             held.add(chunk.column(0), chunk.column(2), Sets(chunk.column(1), size))
             if held.size >= BUFFER:
-                yield held.sent()
+                yield from held.sent()
                 held = _Buffer(held.name + 1, n_ranges, seed)
         if held.docs:
-            yield held.sent()
+            yield from held.sent()
 
     return run
 
@@ -166,6 +191,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     prints, nodes = np.concatenate(prints), np.concatenate(nodes)
     order = np.argsort(prints, kind="stable")
     prints, nodes, blob = prints[order], nodes[order], blob[order]
+    del order
     edges = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1], [True])))
     counts = np.diff(edges)
     often = np.repeat(counts, counts)
@@ -200,8 +226,10 @@ def _prefixes(percent: int):
             return
         token = np.concatenate([(a[0].astype(np.int64) << 32) | np.cumsum(a[1], dtype=np.uint32).astype(np.int64) for a in answers])
         node, often = np.concatenate([a[2] for a in answers]).astype(np.int64), np.concatenate([a[3] for a in answers])
+        answers.clear()
         order = np.lexsort((token, often, node))
         token, node = token[order], node[order]
+        del order, often
         shared = np.bincount(node, minlength=len(n))
         pos = np.arange(len(node)) - np.concatenate(([0], np.cumsum(shared)[:-1]))[node] + (n - shared)[node]
         keep = pos < (n - -(-(percent * n) // 100) + 1)[node]
@@ -378,8 +406,8 @@ def _classes(docs: DataFrame, size: int, percent: int, n_ranges: int | None) ->
     n_ranges, seed = n_ranges or n_ranges_for(docs), 0
     while True:
         sent = map_arrow(docs, _scan(size, n_ranges, seed), _SENT)
-        counted = sent.repartitionById(n_ranges, "at").groupBy("at").applyInArrow(_counted, _SENT)  # a task counts one range; by hash some would get several
-        first = written(counted.repartition(n_ranges, "buffer").groupBy("buffer").applyInArrow(_prefixes(percent), _FOUND), "prefixes")
+        counted = sent.repartitionById(n_ranges, "at").groupBy("at").applyInArrow(released(_counted), _SENT)  # a task counts one range; by hash some would get several
+        first = written(counted.repartition(n_ranges, "buffer").groupBy("buffer").applyInArrow(released(_prefixes(percent)), _FOUND), "prefixes")
         known = first.where("is_doc").select("doc_id", "mark", "n", "sig", "sig2", *PARITY)
         nodes = written(known.where("sig is not null").groupBy("sig", "sig2").agg(F.min("doc_id").alias("least"), *[F.min(p).alias(p) for p in PARITY]), "nodes")
         if nodes.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").isEmpty():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import io
 import os
 import tempfile
@@ -72,10 +74,31 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def release() -> None:
+    """Give the system what this process has freed: a Python worker lives on between tasks, beside a JVM that needs the memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def released(f):
+    """The same function of batches, which releases what it has freed when a task's (or group's) batches are done."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(released(f), schema)
 
 
 #: Bytes of text whose hashes one reducing task takes; so many tasks share the work from as many MB on.

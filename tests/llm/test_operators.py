@@ -588,3 +588,58 @@ def test_whole_licenses_accept_themselves(label):
         a = license_scan.Automaton(t)
         assert a.match(lambda k: words[k].encode(), 0, len(words)) == len(words)
         assert a.match(lambda k: words[k].encode(), 0, len(words) - 1) is None
+
+
+def filled_buffer(n_docs, words):
+    """A buffer of distinct documents, three of which repeat one."""
+    held = jaccard_join._Buffer(7, 64, 0)
+    for k in range(0, n_docs, 25):
+        rows = [" ".join(f"{i}x{j}" for j in range(words)) for i in range(k, k + 25)] + ["a b c d e f g"]
+        held.add(pa.array(range(k, k + 26), pa.int64()), pa.array([0] * 26, pa.int64()), jaccard_join.Sets(pa.array(rows), 5))
+    return held
+
+
+def test_a_buffer_is_sent_whole_in_small_batches_and_within_bounded_memory():
+    import tracemalloc
+
+    held = filled_buffer(100, 10_000)
+    h, node, n = np.concatenate(held.h), np.concatenate(held.node), held.size
+    tracemalloc.start()
+    sent = held.sent()
+    batches = [sent] if isinstance(sent, pa.RecordBatch) else list(sent)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = []
+    for at, kind, name, payload in (r.values() for b in batches for r in b.to_pylist()):
+        assert name == 7
+        arrays = jaccard_join.unpacked(payload)
+        if kind == jaccard_join._POSTINGS:
+            prints = np.cumsum(arrays[0], dtype=np.uint32)
+            got += zip([at] * len(prints), prints.tolist(), arrays[1].tolist(), strict=True)
+        else:
+            assert at < 0 and len(arrays[0]) == 104
+    where = ((h >> np.uint64(32)) * np.uint64(64)) >> np.uint64(32)
+    assert sorted(got) == sorted(zip(where.tolist(), (h & np.uint64(0xFFFFFFFF)).tolist(), node.tolist(), strict=True))
+    assert len(batches) > 2 and max(sum(len(x.as_py()) for x in b.column(3)) for b in batches) < 2 * jaccard_join.SENT_BYTES
+    assert peak < 50 * n
+
+
+def test_freed_memory_is_given_back_when_a_task_ends():
+    from keystrata.llm.shared import released
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) >> 8
+
+    last, seen = [], []
+
+    def run(batches):
+        for batch in batches:
+            held = [np.ones(65_536, dtype=np.uint8) for _ in range(3000)]
+            last.append(held[-1])  # the allocator can't shrink its heap by itself
+            del held
+            seen.append(resident())
+            yield batch
+
+    assert list(released(run)(iter([1]))) == [1]
+    assert resident() < seen[0] - 100
