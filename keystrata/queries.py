@@ -493,14 +493,17 @@ def engine_new_order(spark, sf):
     }, unique={"customer", "stock"})
     placed = _table(spark, sf, "orders").selectExpr("o_orderkey AS o_id", "o_custkey AS o_c_id", "o_orderkey % 4 AS o_w_id").join(engine.view("customer").selectExpr("c_id AS o_c_id"), "o_c_id", "left_semi")
     lines = _table(spark, sf, "lineitem").join(placed, F.col("l_orderkey") == F.col("o_id"), "left_semi").groupBy(F.col("l_orderkey").alias("ol_o_id"), F.col("l_partkey").alias("ol_item_id")).agg(F.sum("l_quantity").cast("long").alias("ol_quantity"))
-    lines = lines.withColumn("ol_id", F.col("ol_o_id") * 1_000_000 + F.col("ol_item_id"))
+    # a line's key is its order and its number there, dense and so within 48 bits; order * 10^6 + item, which the result shows, is shared by lines once items reach 10^6
+    width = _table(spark, sf, "lineitem").where("l_orderkey is not null").groupBy("l_orderkey").count().agg(F.max("count")).first()[0] or 1
+    number = F.row_number().over(W.partitionBy("ol_o_id").orderBy("ol_item_id"))
+    lines = lines.withColumn("ol_id", F.col("ol_o_id") * width + number - 1)
     used = lines.groupBy(F.col("ol_item_id").alias("s_id")).agg(F.sum("ol_quantity").alias("used"))
     stock = engine.view("stock").join(used, "s_id").select("s_id", (F.col("s_quantity") - F.col("used")).alias("s_quantity"))
     orders = placed.join(lines.select(F.col("ol_o_id").alias("o_id")), "o_id", "left_semi")
     engine.upsert_all({"stock": stock, "order_line": lines, "orders": orders}, unique={"stock", "order_line", "orders"})
     return (
         engine.view("stock").selectExpr("'stock' AS kind", "s_id AS id", "s_quantity AS a", "0L AS b")
-        .unionByName(engine.view("order_line").selectExpr("'line' AS kind", "ol_id AS id", "ol_item_id AS a", "ol_quantity AS b"))
+        .unionByName(engine.view("order_line").selectExpr("'line' AS kind", "ol_o_id * 1000000 + ol_item_id AS id", "ol_item_id AS a", "ol_quantity AS b"))
         .unionByName(engine.view("orders").selectExpr("'order' AS kind", "o_id AS id", "o_c_id AS a", "o_w_id AS b"))
     )
 

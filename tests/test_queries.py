@@ -23,6 +23,19 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(map(tuple, found.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=str)
 
 
+def test_new_order_with_a_million_parts(spark, tmp_path):
+    """Lines of neighbouring orders whose order * 10^6 + item is the same number."""
+    db = duckdb.connect()
+    db.sql("CREATE TABLE customer AS SELECT i AS c_custkey, 'c' || i AS c_name FROM range(3) t(i)")
+    db.sql("CREATE TABLE part AS SELECT unnest([4, 9, 1000004, 1000009, 2000004]) AS p_partkey")
+    db.sql("CREATE TABLE orders AS SELECT i AS o_orderkey, i % 4 AS o_custkey FROM range(7) t(i)")
+    db.sql("CREATE TABLE lineitem AS SELECT o_orderkey AS l_orderkey, p_partkey AS l_partkey, (1 + r)::DOUBLE AS l_quantity FROM orders, part, range(2) t(r) WHERE o_orderkey <> 2")
+    for t in ("customer", "part", "orders", "lineitem"):
+        db.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    found = queries.QUERIES["engine_new_order"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.select("kind", "id", "a", "b").collect())) == sorted(db.sql(queries.SQL["engine_new_order"]).fetchall())
+
+
 def test_merge_cases(spark):
     run = lambda *r: spark.createDataFrame(list(r), "k long, v string, deleted boolean")
     new, mid, old = run((1, "a", False), (3, None, True)), run((1, "b", False), (2, "c", False)), run((2, "d", False), (3, "e", False))
