@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -200,8 +200,15 @@ def mvcc_own_writes_first(spark, sf):
 _TOUCHED = "w AS (SELECT DISTINCT txn, k, txn * 5 - 40 AS start_ts FROM v)"
 
 
-def _touched(versions: DataFrame) -> DataFrame:
-    return versions.select("txn", "k", (F.col("txn") * 5 - 40).alias("start_ts")).distinct()
+#: Rows that one task tells apart: Spark joins partitions by their compressed bytes, and pairs of numbers take a fiftieth of what their hash table does.
+_TASK_ROWS = 1 << 20
+
+
+def _touched(spark: SparkSession, sf: str, versions: DataFrame, *keys: Column) -> DataFrame:
+    """What each transaction touches: the ``keys`` of its versions, dealt so that a task has some ``_TASK_ROWS`` of them however many events there are."""
+    tasks = -(-_table(spark, sf, "events").count() * len(keys) // _TASK_ROWS) or 1
+    pairs = versions.select("txn", F.explode(F.array(*keys)).alias("k")).repartition(tasks, "txn", "k").distinct()
+    return pairs.select("txn", "k", (F.col("txn") * 5 - 40).alias("start_ts"))
 
 
 def _late(touched: str) -> str:
@@ -211,15 +218,13 @@ def _late(touched: str) -> str:
 @query(f"WITH {_VERSIONS}, {_TOUCHED} {_late('w')}")
 def mvcc_write_conflicts(spark, sf):
     versions = _versions(spark, sf)
-    return mvcc.conflicts(_touched(versions), versions)
+    return mvcc.conflicts(_touched(spark, sf, versions, F.col("k")), versions)
 
 
 @query(f"WITH {_VERSIONS}, {_TOUCHED}, r AS (SELECT txn, k, start_ts FROM w UNION SELECT txn, (k + 1) % 150, start_ts FROM w) {_late('r')}")
 def mvcc_serializable_conflicts(spark, sf):
     versions = _versions(spark, sf)
-    writes = _touched(versions)
-    reads = writes.withColumn("k", (F.col("k") + 1) % 150)
-    return mvcc.conflicts(writes.unionByName(reads).distinct(), versions)
+    return mvcc.conflicts(_touched(spark, sf, versions, F.col("k"), (F.col("k") + 1) % 150), versions)
 
 
 @query(f"""WITH {_VERSIONS}, c AS (SELECT *, lead(commit_ts) OVER (PARTITION BY k ORDER BY commit_ts, seq) AS nxt FROM v WHERE commit_ts IS NOT NULL)

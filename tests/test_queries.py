@@ -3,6 +3,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from keystrata import queries
@@ -102,6 +103,17 @@ def test_conflicts_and_spans_against_brute_force(spark):
     assert sorted(map(tuple, rest)) == sorted(r for r in v if r[3] and r not in seen)
 
 
+def test_what_transactions_touch_is_dealt_by_rows(spark, monkeypatch):
+    """Each pair once, and few of them in a task, whatever they take when compressed."""
+    monkeypatch.setattr(queries, "_TASK_ROWS", 100)
+    versions = queries._versions(spark, SF)
+    n, k = spark.read.parquet(f"{SF}/events.parquet").count(), F.col("k")
+    got = queries._touched(spark, SF, versions, k, (k + 1) % 150)
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 200 < n
+    pairs = [tuple(r) for r in versions.select("txn", "k").collect()]
+    assert sorted(map(tuple, got.collect())) == sorted({(t, x, t * 5 - 40) for t, u in pairs for x in (u, (u + 1) % 150)})
+
+
 def hits_by_scan(pages, frames, k):
     """A cache that looks at every page it holds before each eviction."""
     held, hits = {}, 0
