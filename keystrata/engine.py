@@ -19,7 +19,7 @@ from keystrata.errors import ConflictError, SqlError, TransactionError
 from keystrata.functions.keys import payload_bytes
 from keystrata.operators import log
 from keystrata.plans.access import FULL, POINT, AccessPath, access_path
-from keystrata.sources.store import DELETED, FILE_BYTES, SEQ, Manifest, Store, TableState
+from keystrata.sources.store import DELETED, FILE_BYTES, FILE_ROWS, SEQ, Manifest, Store, TableState
 from keystrata.sql import binder
 from keystrata.sql.parser import Comparison, CreateTable, Delete, Insert, Select, parse
 from keystrata.txn import SNAPSHOT, Transaction
@@ -59,14 +59,14 @@ class Engine:
     runs becomes one run of the next, so that a row is rewritten once a tier.
 
     Several engines, also of several processes, may work on one root. Transactions hold leases there; one that is older than ``lease_s`` counts as
-    dead: its versions may go, and it can't read or commit any more. Compacted runs have files of about ``file_bytes``.
+    dead: its versions may go, and it can't read or commit any more. Compacted runs have files of about ``file_bytes``, or of ``file_rows`` if they take less.
     """
 
-    def __init__(self, spark: SparkSession, root: str, layout: str = LOG, compact_at: int = 4, max_row_bytes: int | None = 64, lease_s: float = 3600, file_bytes: int = FILE_BYTES):
+    def __init__(self, spark: SparkSession, root: str, layout: str = LOG, compact_at: int = 4, max_row_bytes: int | None = 64, lease_s: float = 3600, file_bytes: int = FILE_BYTES, file_rows: int = FILE_ROWS):
         if layout not in (SORTED, LOG):
             raise ValueError(f"unknown layout {layout}")
         self.spark, self.layout, self.compact_at, self.max_row_bytes = spark, layout, max(2, compact_at), max_row_bytes
-        self.lease_s, self.file_bytes = lease_s, file_bytes
+        self.lease_s, self.file_bytes, self.file_rows = lease_s, file_bytes, file_rows
         self.store = Store(spark, root)
         self.lock = threading.RLock()
         self.active: dict[int, Transaction] = {}
@@ -299,7 +299,8 @@ class Engine:
         """Merge the runs of a tier into one of the next, or all runs into one.
 
         Versions that a transaction of any process can still read stay, and so do their tombstones; others go if no deeper
-        tier has runs. What is bottommost is dealt by key range.
+        tier has runs. What is bottommost is dealt by key range, before the merge, so that rows are sent and sorted once; bounds on a
+        file's rows and bytes bound what a task sorts, since a run has few versions of a key.
         """
         with self.lock:
             now = self.manifest()
@@ -311,15 +312,19 @@ class Engine:
             starts = self.store.leased(self.lease_s)
             rows, bottommost = self.store.read(t, taken), tier is None or not any(t.tiers[tier + 1 :])
             clean = bottommost and not starts
+            if starts and len(taken) < 2:
+                return
+            n_rows = sum(r.rows for r in taken)
+            files = n_files or max(1, -(-sum(r.bytes for r in taken) // self.file_bytes), -(-n_rows // self.file_rows))
+            ranged = bottommost or files > 1
+            if ranged:
+                rows = rows.repartitionByRange(files, t.schema.key)
             if starts:
-                if len(taken) < 2:
-                    return
                 rows = log.newest_for(rows, t.schema.key, SEQ, starts)
             else:
                 rows = log.compact(rows, t.schema.key, SEQ, bottommost=bottommost, deleted=DELETED)
-            files = n_files or max(1, -(-sum(r.bytes for r in taken) // self.file_bytes))
-            path = self.store.write_run(rows, t.schema, files if bottommost or files > 1 else None, sum(r.rows for r in taken))
-            run = self.store.run(t, path, clean, bottommost or files > 1)
+            path = self.store.write_run(rows, t.schema, files if ranged else None, n_rows)
+            run = self.store.run(t, path, clean, ranged)
             if tier is None:
                 t.tiers = [*([] for _ in range(last)), [run]]
             else:

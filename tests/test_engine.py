@@ -378,6 +378,24 @@ def test_layout(spark, tmp_path):
     assert engine.stats()["tables"]["t"]["bytes"] < 200_000
 
 
+def test_a_compacting_task_has_bounded_rows(spark, tmp_path):
+    """Rows that Parquet packs well: their bytes alone would make one file, sorted in one task."""
+    engine = Engine(spark, str(tmp_path / "db"), SORTED, file_rows=500)
+    engine.execute("CREATE TABLE t (id INTEGER, v TEXT)")
+    engine.upsert("t", spark.range(4000).select("id", F.lit("x").alias("v")))
+    rows = lambda: [r["count"] for r in engine.changes("t").groupBy("_metadata.file_name").count().collect()]
+    assert len(rows()) >= 8 and max(rows()) < 1000 and engine.table("t").clean
+    engine.execute("DELETE FROM t WHERE id >= 1000 AND id < 1500")
+    late = engine.begin()
+    engine.upsert("t", spark.range(3990, 4010).select("id", F.lit("y").alias("v")))
+    assert late.get("t", 3995) == (3995, "x") and max(rows()) < 1000  # compacted, but with what the lease reads
+    late.abort()
+    engine.compact("t")
+    assert engine.table("t").clean and max(rows()) < 1000 and engine.changes("t").where("_deleted").count() == 0
+    want = [(i, "y" if i >= 3990 else "x") for i in range(4010) if not 1000 <= i < 1500]
+    assert [tuple(r) for r in engine.scan("t").collect()] == want and engine.get("t", 4009) == (4009, "y") and engine.get("t", 1200) is None
+
+
 def test_manifests_are_hinted_and_expire(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "db"), compact_at=99)
     start(engine)
